@@ -103,37 +103,46 @@ def tables(spark: SparkSession, sf_dir: str) -> SalesTables:
     return SalesTables(detail(spark, sf_dir))
 
 
-def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per vehicle and year, 48 month columns as text.
+def month_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per vehicle and year the 48 month cells as text, in the order of the sales blocks.
 
     Every 9th part never sells, and some cells hold what sheets hold in practice: words, grouped
-    digits, halves. Units of a (part, year) are summed before the join, as in ``detail``.
+    digits, halves, negatives. Units are pivoted before the join, as in ``detail``.
     """
-    units = shipped(spark, sf_dir)
+    slots = [f"{t} {m}" for t in SALES_BLOCKS for m in MONTHS]
+    slot = F.concat_ws(" ", "sales_type", month_name(F.col("month_no")))
+    pivoted = (
+        shipped(spark, sf_dir).withColumn("slot", slot)
+        .groupBy("l_partkey", "year").pivot("slot", slots).agg(F.first("sales"))
+    )
     key = F.col("l_partkey")
-    monthly = []
-    for sales_type, (prefix, _, _) in SALES_BLOCKS.items():
-        for month_no, month in enumerate(MONTHS, start=1):
-            hit = (F.col("sales_type") == sales_type) & (F.col("month_no") == month_no)
-            monthly.append(F.sum(F.when(hit, F.col("sales"))).alias(f"{prefix}_{month}"))
-    sums = units.groupBy("l_partkey", "year").agg(*monthly)
-
-    def as_cell(name: str) -> Column:
-        units_text = _text(F.col(name))
-        cell = F.when(key % 9 == 0, F.when(F.col(name) > 25, "-").when(F.col(name) > 0, "0"))
-        if name == "wholesale_jan":
-            cell = cell.when(key % 13 == 1, "n/a").when(key % 13 == 2, F.concat(units_text, F.lit(".5")))
-        if name == "retail_feb":
-            cell = cell.when(key % 13 == 3, "1,000").when(key % 13 == 4, "0.5").when(key % 13 == 5, "-3")
-        return cell.otherwise(units_text).alias(name)
-
-    cells = sums.select("l_partkey", "year", *[
-        as_cell(f"{prefix}_{m}") for prefix, _, _ in SALES_BLOCKS.values() for m in MONTHS
-    ])
+    wholesale_jan, retail_feb = 0, 13
+
+    def as_cell(units: Column, at: Column) -> Column:
+        return (
+            F.when(key % 9 == 0, F.when(units > 25, "-").when(units > 0, "0"))
+            .when((at == wholesale_jan) & (key % 13 == 1), "n/a")
+            .when((at == wholesale_jan) & (key % 13 == 2), F.concat(_text(units), F.lit(".5")))
+            .when((at == retail_feb) & (key % 13 == 3), "1,000")
+            .when((at == retail_feb) & (key % 13 == 4), "0.5")
+            .when((at == retail_feb) & (key % 13 == 5), "-3")
+            .otherwise(_text(units))
+        )
+
+    cells = pivoted.select("l_partkey", "year", F.transform(
+        F.array(*[F.col(f"`{s}`") for s in slots]), as_cell).alias("months"))
     parts = vehicles(spark, sf_dir)
     return cells.join(parts, cells.l_partkey == parts.p_partkey)
 
 
+def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per vehicle and year, the 48 month cells as columns ``wholesale_jan`` ..."""
+    names = [f"{prefix}_{m}" for prefix, _, _ in SALES_BLOCKS.values() for m in MONTHS]
+    table = month_cells(spark, sf_dir)
+    others = [c for c in table.columns if c != "months"]
+    return table.select(*others, *[F.col("months")[i].alias(n) for i, n in enumerate(names)])
+
+
 def file_brand(brand: Column) -> Column:
     """``Brand#11`` as it would name a workbook: ``BRAND_11``."""
     return F.upper(F.replace(brand, F.lit("#"), F.lit("_")))
@@ -149,20 +158,24 @@ def sheet_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     A head of company lines, block titles and month names stands above the vehicles; it starts
     at a row that differs by year. Vehicle rows keep gaps between row numbers, as sheets do.
     """
-    table = wide(spark, sf_dir)
+    table = month_cells(spark, sf_dir)
     by_position = {pos: name for name, pos in SHEET_POSITIONS.items()}
-    for prefix, _, start in SALES_BLOCKS.values():
-        by_position.update({start + i: f"{prefix}_{m}" for i, m in enumerate(MONTHS)})
     given = set(table.columns)
+    first_month = min(start for _, _, start in SALES_BLOCKS.values())
+    gap = F.array(F.lit(None).cast("string"))
 
     def cell(position: int) -> Column:
         name = by_position.get(position)
         return F.col(name) if name in given else F.lit(None).cast("string")
 
+    blocks = [F.slice("months", 1 + 12 * i, 12) for i in range(len(SALES_BLOCKS))]
     body = table.select(
         file_path(F.col("year"), F.col("brand")).alias("path"),
         (20 + F.col("p_partkey")).alias("row_idx"),
-        F.array(*[cell(i) for i in range(SHEET_WIDTH)]).alias("cells"),
+        F.concat(
+            F.array(*[cell(i) for i in range(first_month)]),
+            blocks[0], gap, blocks[1], gap, blocks[2], gap, blocks[3],
+        ).alias("cells"),
     )
 
     def line(at: dict[int, str]) -> Column:
@@ -181,7 +194,9 @@ def sheet_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(first.alias("at"), line(names).alias("cells")),
     )
     heads = (
-        table.select("year", "brand").distinct()
+        shipped(spark, sf_dir).select("l_partkey", "year").distinct()
+        .join(vehicles(spark, sf_dir), F.col("l_partkey") == F.col("p_partkey"))
+        .select("year", "brand").distinct()
         .select(file_path(F.col("year"), F.col("brand")).alias("path"),
                 F.explode(head_lines).alias("h"))
         .select("path", F.col("h.at").alias("row_idx"), F.col("h.cells").alias("cells"))
