@@ -9,7 +9,7 @@ from saleslens.plans.tables import SalesTables
 from saleslens.sources import warehouse
 from workload import facts
 
-EAGER = {"sink_roundtrip", "incremental_update", "incremental_update_stream"}
+EAGER = {"ingest_detail", "run_metadata", "sink_roundtrip", "incremental_update", "incremental_update_stream"}
 LAZY = sorted(set(entry_points.queries()) - EAGER)
 
 

@@ -426,6 +426,18 @@ on_wide("ingest_detail", f"""
 SELECT upper(replace(brand, '#', '_')) AS brand, segment, model, month, sales_type, sales, year,
   false AS is_summary, CAST(20 + p_partkey AS BIGINT) AS row_index, vr_id, {_SPECS}
 FROM filled WHERE brand NOT LIKE '%7'""")
+on_wide("run_metadata", """
+, summary AS (SELECT DISTINCT brand, year, sales_type FROM filled)
+SELECT (SELECT string_agg(DISTINCT file_brand, ',' ORDER BY file_brand) FROM sheet)
+    AS brands_processed,
+  (SELECT count(*) FROM filled) + (SELECT count(*) FROM summary) AS total_records,
+  (SELECT count(*) FROM filled) AS detailed_records,
+  (SELECT count(*) FROM summary) AS summary_records,
+  '2025-01-01T00:00:00' AS processing_date,
+  (SELECT count(DISTINCT path) FROM sheet) AS files_processed,
+  CAST(0 AS BIGINT) AS unreadable_files,
+  (SELECT count(*) FROM cell WHERE value IS NOT NULL AND TRY_CAST(value AS DOUBLE) IS NULL)
+    AS rejected_cells""")
 _UPDATED = """
 , fact AS (SELECT upper(replace(brand, '#', '_')) AS brand, year, sales_type, sales FROM filled)"""
 for _name in ("incremental_update", "incremental_update_stream"):

@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saleslens.constants import DISTRIBUTION_COLUMNS, MONTHS, SALES_TYPES, SPEC_COLUMNS
+from saleslens.constants import DISTRIBUTION_COLUMNS, MONTHS, SALES_TYPES
 from saleslens.functions import scalars as sc
 from saleslens.operators import filters, profile, quality, questions, ranking, reshape, shapes
 from saleslens.operators import sheet, views
-from saleslens.operators.grouping import group_by, aggregate
 from saleslens.operators.totals import totals, with_totals
-from saleslens.plans.build import detail_from_sheets
+from saleslens.plans.build import detail_from_sheets, run_record, stage
 from saleslens.plans.run import run
+from saleslens.plans.tables import SalesTables
 from saleslens.session import shared_dir
 from saleslens.sources import warehouse
 from saleslens.sources.workbooks import path_keys
@@ -122,9 +122,18 @@ def ingest_rejects(spark, sf_dir):
 
 @register
 def ingest_detail(spark, sf_dir):
-    """Sheets to fact rows, all steps in one plan."""
-    return detail_from_sheets(facts.sheet_cells(spark, sf_dir),
-                              brands=_file_brands(spark, sf_dir))
+    """Sheets to fact rows by way of a staging table, as for workbooks."""
+    staged = stage(facts.sheet_cells(spark, sf_dir), shared_dir(spark, "sheets"))
+    return detail_from_sheets(staged, brands=_file_brands(spark, sf_dir))
+
+
+@register
+def run_metadata(spark, sf_dir):
+    """What a build over the sheets reports about itself."""
+    sheets = stage(facts.sheet_cells(spark, sf_dir), shared_dir(spark, "sheets"))
+    detail = detail_from_sheets(sheets, brands=_all_file_brands(spark, sf_dir))
+    record = run_record(with_totals(detail), sheets, "2025-01-01T00:00:00")
+    return record.withColumn("brands_processed", F.array_join("brands_processed", ","))
 
 
 # --- totals and views ---------------------------------------------------------------------
@@ -301,7 +310,6 @@ _spec("query_model_ranking_compat", {"operation": "model_specs"}, compat=True)
 def query_brand_segment(spark, sf_dir):
     """A ranking of a table without models: by brand and segment."""
     without = facts.detail(spark, sf_dir).drop("model")
-    from saleslens.plans.tables import SalesTables
     return run({"operation": "model_specs"}, SalesTables(without, detailed=without))
 
 
