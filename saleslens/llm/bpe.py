@@ -226,10 +226,12 @@ class Tokenizer:
             if k % 2:
                 out.append(self.specials[part])
                 continue
-            if _UNSETTLED.search(part):
+            # lower-cased letter by letter, so a final sigma gets no form of its own
+            plain = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
+            if _UNSETTLED.search(part) or _UNSETTLED.search(plain):
                 pieces = [p for p, _ in self._split(self._normalize(part))]
-            else:  # lower-cased letter by letter, so a final sigma gets no form of its own
-                pieces = self._pieces.findall(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
+            else:
+                pieces = self._pieces.findall(plain)
             for p in pieces:
                 found = get(p)
                 if found is None:
