@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saleslens.llm import bpe, decontaminate
+from saleslens.llm import bpe, decontaminate, language, shards
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,12 +30,27 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                        names["contaminated"], names["spans"])
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    third = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
+    learn = F.coalesce(third != 1, F.lit(False))
+    model = language.fit(docs, learn=learn, order=F.xxhash64("text", "doc_id"))
+    rows = docs.select("doc_id", F.coalesce(third == 1, F.lit(False)).alias("held_out"), "text")
+    return language.predict(rows, model)[0].drop("text")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode(docs, tokenizer_path(), wanted=("n_tokens", "ids_sha256", "decoded_sha256"))[0].drop("text")
 
 
+def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.place(_read(spark, sf_dir, "documents"), shards.tree(40), shards.tree(41))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
+    "op5_language_id": op5_language_id,
     "op6_bpe": op6_bpe,
+    "op7_shards": op7_shards,
 }
