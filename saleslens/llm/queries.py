@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saleslens.llm import bpe, decontaminate, language, shards
+from saleslens.llm import bpe, decontaminate, language, ordinal, shards
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,9 +48,16 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.place(_read(spark, sf_dir, "documents"), shards.tree(40), shards.tree(41))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = ordinal.fit(docs, _read(spark, sf_dir, "labels"), ordinal.quality_grade(), ordinal.N_GRADES)
+    return ordinal.score(docs, model)[0].drop("text")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op5_language_id": op5_language_id,
     "op6_bpe": op6_bpe,
     "op7_shards": op7_shards,
+    "op9_quality": op9_quality,
 }
