@@ -205,3 +205,41 @@ def shingles(words: list[bytes], k: int = 5) -> np.ndarray:
         for j in range(k):
             runs += h[j : j + n] * _STEP[j]
     return np.unique(mix(runs + _U(k)))
+
+
+# ---------------------------------------------------------------------------------------------
+# graphs
+
+
+def components(edges: DataFrame, purpose: str) -> DataFrame:
+    """``node`` and ``component`` (the least node) of the graph of the edges ``a``, ``b``.
+
+    Each round takes the least label among the neighbours, then follows labels once; it ends when
+    no label has changed. A round's labels are a written table. Folding on the map side keeps a hub
+    from weighing on one task; joins on its label are split by the adaptive skew join.
+    """
+    both = staged(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), f"{purpose}-edges")
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+    labels = staged(labels.select("node", F.least("node", "component").alias("component")), f"{purpose}-labels")
+    while True:
+        near = (both.join(labels.select(F.col("node").alias("b"), "component"), "b")
+                .groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near")))
+        lower = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
+        lower = staged(lower, f"{purpose}-lower")
+        ahead = lower.select(F.col("node").alias("component"), F.col("component").alias("ahead"))
+        jumped = lower.join(ahead, "component").select("node", "old", F.col("ahead").alias("component"))
+        jumped = staged(jumped, f"{purpose}-labels")
+        labels = jumped.drop("old")
+        if jumped.where("old <> component").isEmpty():
+            return labels
+
+
+def tiles(rows: DataFrame, group: str, size: str, block: int, row: str) -> DataFrame:
+    """Rows dealt to pairs of blocks of their group, so that any two meet and no task gets a whole
+    large group: columns ``own``, ``lo``, ``hi`` are added. A group of up to ``block`` rows is one pair."""
+    n = F.ceil(F.col(size) / F.lit(block)).cast("int")
+    own = F.pmod(F.xxhash64(row, group), F.greatest(n, F.lit(1))).cast("int")
+    rows = rows.withColumn("n_blocks", F.greatest(n, F.lit(1))).withColumn("own", own)
+    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
+    return (rows.withColumn("other", other).withColumn("lo", F.least("own", "other"))
+            .withColumn("hi", F.greatest("own", "other")).drop("other", "n_blocks"))

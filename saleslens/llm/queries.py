@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saleslens.llm import bpe, decontaminate, language, ordinal, outliers, shards
+from saleslens.llm import bpe, decontaminate, forest, language, ordinal, outliers, shards
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op1_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.outliers(_read(spark, sf_dir, "documents"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.join(_read(spark, sf_dir, "documents")).documents
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     rows, names = decontaminate.decontaminate(docs, _read(spark, sf_dir, "benchmark"))
@@ -60,6 +64,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mcd_outliers": op1_mcd_outliers,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_decontaminate": op4_decontaminate,
     "op5_language_id": op5_language_id,
     "op6_bpe": op6_bpe,
