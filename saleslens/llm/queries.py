@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saleslens.llm import bpe, decontaminate, forest, language, ordinal, outliers, shards
+from saleslens.llm import bpe, decontaminate, forest, language, ordinal, outliers, shards, units
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.score(docs, model)[0].drop("text")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return units.dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))[0].drop("original_words")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mcd_outliers": op1_mcd_outliers,
     "op3_jaccard_join": op3_jaccard_join,
@@ -70,4 +74,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe": op6_bpe,
     "op7_shards": op7_shards,
     "op9_quality": op9_quality,
+    "op10_line_dedup": op10_line_dedup,
 }
