@@ -1,3 +1,17 @@
 """DuckDB counterparts of the queries of this package that SQL can express."""
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op8_warc": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS body FROM pages
+        ), q AS (
+            SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha256(body) AS payload_digest FROM p
+        ), r AS (
+            SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM q
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+        FROM r
+    """,
+}

@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saleslens.llm import bpe, decontaminate, forest, language, ordinal, outliers, shards, units
+from saleslens.llm import bpe, decontaminate, forest, language, ordinal, outliers, shards, units, warc
+from saleslens.session import shared_dir
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +57,14 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.place(_read(spark, sf_dir, "documents"), shards.tree(40), shards.tree(41))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, root = _read(spark, sf_dir, "pages"), shared_dir(spark, "warc")
+    warc.write(pages, root)
+    kind = pages.schema["page_id"].dataType
+    return warc.read(spark, root).select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                                         F.col("refers_to").cast(kind).alias("refers_to"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     model = ordinal.fit(docs, _read(spark, sf_dir, "labels"), ordinal.quality_grade(), ordinal.N_GRADES)
@@ -73,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_bpe": op6_bpe,
     "op7_shards": op7_shards,
+    "op8_warc": op8_warc,
     "op9_quality": op9_quality,
     "op10_line_dedup": op10_line_dedup,
 }
