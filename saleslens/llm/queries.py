@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saleslens.llm import bpe, decontaminate, forest, language, ordinal, outliers, shards, units, warc
+from saleslens.llm import bpe, decontaminate, forest, language, licences, ordinal, outliers, shards, units, warc
 from saleslens.session import shared_dir
 
 
@@ -27,6 +27,10 @@ def op1_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.outliers(_read(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_read(spark, sf_dir, "documents"))
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.join(_read(spark, sf_dir, "documents")).documents
 
@@ -77,6 +81,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mcd_outliers": op1_mcd_outliers,
+    "op2_license_scan": op2_license_scan,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_decontaminate": op4_decontaminate,
     "op5_language_id": op5_language_id,
