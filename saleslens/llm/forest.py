@@ -20,7 +20,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -255,18 +255,18 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thr
     """``docs`` with one document of each class: the one of least id. All columns stay; documents
     without words stay. Of rows that repeat the same id and text one stays."""
     winners = staged(join(docs, doc_id, text, threshold).winners, "forest-winners")
-    key, i, k, n, wordless = fresh(docs.columns, "text_key", "winner_id", "winner_key", "n_rows", "wordless")
-    keyed = _wordless(docs, text, wordless).withColumn(key, F.xxhash64(col(text)))
+    key, i, k, n, bare = fresh(docs.columns, "text_key", "winner_id", "winner_key", "n_rows", "wordless")
+    keyed = docs.withColumns({bare: wordless(col(text)), key: F.xxhash64(col(text))})
     named = winners.select(F.col("doc_id").alias(i), F.col("text_key").alias(k), F.col("n_rows").alias(n))
-    hit = col(doc_id).eqNullSafe(F.col(i)) & (F.col(key) == F.col(k)) & ~F.col(wordless)
-    kept = keyed.join(named, hit, "left").where(F.col(wordless) | F.col(n).isNotNull())
+    hit = col(doc_id).eqNullSafe(F.col(i)) & (F.col(key) == F.col(k)) & ~F.col(bare)
+    kept = keyed.join(named, hit, "left").where(F.col(bare) | F.col(n).isNotNull())
     if winners.where("n_rows > 1").isEmpty():
         return kept.select(*map(col, docs.columns))
-    single = kept.where(F.col(wordless) | (F.col(n) == 1))
-    again = kept.where(~F.col(wordless) & (F.col(n) > 1)).dropDuplicates([doc_id, key])
+    single = kept.where(F.col(bare) | (F.col(n) == 1))
+    again = kept.where(~F.col(bare) & (F.col(n) > 1)).dropDuplicates([doc_id, key])
     return single.unionByName(again).select(*map(col, docs.columns))
 
 
-def _wordless(docs: DataFrame, text: str, name: str) -> DataFrame:
-    """Marks texts without a word: null, or nothing left once what parts words is gone."""
-    return docs.withColumn(name, F.coalesce(~col(text).rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"), F.lit(True)))
+def wordless(text: Column) -> Column:
+    """Whether a text has no word: it is null, or nothing but what parts words."""
+    return F.coalesce(~text.rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"), F.lit(True))
