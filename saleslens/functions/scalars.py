@@ -30,13 +30,24 @@ def month_name_id(month: Column) -> Column:
     return F.try_element_at(_lookup(MONTH_NAMES_ID), month)
 
 
+# White space as Unicode and the sheet readers see it: blanks, tabs, line breaks, no-break and
+# typographic spaces.
+WHITE_SPACE = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+                                0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
+def strip(text: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.trim(text, F.lit(WHITE_SPACE))
+
+
 def to_number(text: Column) -> Column:
     """Text to double; null where it does not read as a number.
 
     Padding, exponents and underscores between digits are read; grouping commas, type suffixes
     (``5d``) and hexadecimal digits are not.
     """
-    trimmed = F.trim(text)
+    trimmed = strip(text)
     plain = F.when(
         trimmed.contains("_"), F.regexp_replace(trimmed, r"(?<=\d)_(?=\d)", "")
     ).otherwise(trimmed)
@@ -79,7 +90,7 @@ def matches_any(text: Column, patterns: Iterable[str], literal: bool = False) ->
         for pattern in patterns:
             found = found | F.lower(text).contains(pattern.lower())
     else:
-        found = text.rlike("(?i)" + "|".join(patterns))
+        found = text.rlike("(?iu)" + "|".join(patterns))
     return F.coalesce(found, F.lit(False))
 
 

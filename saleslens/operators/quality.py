@@ -51,35 +51,58 @@ def cross_reference(result: DataFrame, sales: DataFrame, specs: DataFrame,
                     expected: DataFrame | None = None) -> DataFrame:
     """One row: brands known, record count near the recorded one, score and pass.
 
-    ``expected`` is an integrity record with ``sales_records``. Counts and unknown brands are
-    tallied as rows of one union and summed once.
+    ``expected`` is an integrity record with ``sales_records``.
     """
-    def tally(df: DataFrame, name: str) -> DataFrame:
-        return df.select(F.lit(name).alias("what"), F.lit(1).cast("bigint").alias("n"))
+    return cross_references({"": result}, sales, specs, expected).drop("answer")
+
+
+def cross_references(results: dict[str, DataFrame], sales: DataFrame, specs: DataFrame,
+                     expected: DataFrame | None = None) -> DataFrame:
+    """The cross reference of several results, by ``answer``.
+
+    Each table is read once, for its rows per brand; a few rows per brand then answer for all
+    results. A brand without a name is unknown wherever it stands.
+    """
+    def tally(df: DataFrame, name: str, answer: str | None = None) -> DataFrame:
+        return df.groupBy("brand").agg(F.count(F.lit(1)).alias("n")).select(
+            F.lit(answer).alias("answer"), F.lit(name).alias("what"), "brand", "n")
 
     counted = tally(sales, "sales").unionAll(tally(specs, "specs"))
-    if "brand" in result.columns:
-        counted = counted.unionAll(tally(unknown_brands(result, sales, specs), "unknown"))
     if expected is not None:
-        counted = counted.unionAll(
-            expected.select(F.lit("expected"), F.col("sales_records").cast("bigint")))
+        counted = counted.unionAll(expected.select(
+            F.lit(None).cast("string"), F.lit("expected"), F.lit(None).cast("string"),
+            F.col("sales_records").cast("bigint")))
+    for answer, result in results.items():
+        if "brand" in result.columns:
+            counted = counted.unionAll(tally(result, "result", answer))
 
     def of(name: str) -> Column:
         return F.sum(F.when(F.col("what") == name, F.col("n")))
 
-    row = counted.agg(
-        F.coalesce(of("sales"), F.lit(0)).alias("sales_records"),
-        F.coalesce(of("specs"), F.lit(0)).alias("specs_records"),
-        F.coalesce(of("unknown"), F.lit(0)).alias("unknown_brands"),
-        of("expected").alias("recorded"),
+    per_brand = counted.groupBy("brand").agg(
+        *(of(name).alias(name) for name in ("sales", "specs", "expected")),
+        F.collect_set("answer").alias("answers"))  # at most the number of results
+    known = F.col("brand").isNotNull() & (F.col("sales").isNotNull() | F.col("specs").isNotNull())
+
+    def unknown(answer: str) -> Column:
+        return F.count_if(F.array_contains("answers", answer) & ~known)
+
+    row = per_brand.agg(
+        F.coalesce(F.sum("sales"), F.lit(0)).alias("sales_records"),
+        F.coalesce(F.sum("specs"), F.lit(0)).alias("specs_records"),
+        F.sum("expected").alias("recorded"),
+        F.array(*(F.struct(F.lit(a).alias("answer"), unknown(a).alias("unknown_brands"))
+                  for a in results)).alias("found"),
     )
     recorded = F.coalesce("recorded", "sales_records")
     filled = (F.col("sales_records") > 0) & (F.col("specs_records") > 0)
     return (
-        row.withColumn("brand_consistency", F.col("unknown_brands") == 0)
+        row.select("*", F.inline("found"))
+        .withColumn("brand_consistency", F.col("unknown_brands") == 0)
         .withColumn("record_integrity",
                     F.abs(F.col("sales_records") - recorded) <= recorded * RECORD_TOLERANCE)
         .select(
+            "answer",
             F.lit("cross_reference").alias("check_type"),
             "brand_consistency", "record_integrity", "sales_records", "specs_records",
             F.when(filled, F.least(
@@ -91,6 +114,27 @@ def cross_reference(result: DataFrame, sales: DataFrame, specs: DataFrame,
     )
 
 
+def answer_checks(answers: dict, tables, expected: DataFrame | None = None,
+                  compat: bool = False) -> DataFrame:
+    """The checks of several answers that do not depend on the question's words.
+
+    ``answers`` are pairs of spec and result by name; the rows are ``answer`` and a check each.
+    """
+    from ..plans.run import source_name
+    from ..plans.spec import QuerySpec
+
+    specs = {name: QuerySpec.of(spec) for name, (spec, _) in answers.items()}
+    results = {name: result for name, (_, result) in answers.items()}
+    out = cross_references(results, tables.sales_only, tables.specs_only, expected).select(
+        "answer", *CHECK)
+    for name, result in results.items():
+        spark = result.sparkSession
+        for check in (source_check(spark, source_name(specs[name], compat), result.columns),
+                      completeness(result, specs[name].intent)):
+            out = out.unionByName(check.select(F.lit(name).alias("answer"), *CHECK))
+    return out
+
+
 def intent_check(questions: DataFrame, text: str = "text",
                  submitted: str = "submitted_intent") -> DataFrame:
     """Add the check of the submitted intent against the classifier and the second opinion."""
@@ -193,20 +237,13 @@ def issue_recommendations(issues: Column) -> Column:
 def validate(spec, question: str, result: DataFrame, tables, expected: DataFrame | None = None,
              timestamp: Column | None = None, compat: bool = False) -> DataFrame:
     """One row: the four checks of one answer with score and advice."""
-    from ..plans.run import source_name
     from ..plans.spec import QuerySpec
 
     spec = QuerySpec.of(spec)
-    spark = result.sparkSession
-    asked = spark.range(1).select(F.lit(question).alias("text"),
-                                  F.lit(spec.intent).alias("submitted_intent"))
-    checks = source_check(spark, source_name(spec, compat=compat), result.columns)
-    for part in [
-        cross_reference(result, tables.sales_only, tables.specs_only, expected),
-        intent_check(asked),
-        completeness(result, spec.intent),
-    ]:
-        checks = checks.unionByName(part.select(*CHECK))
+    asked = result.sparkSession.range(1).select(F.lit(question).alias("text"),
+                                                F.lit(spec.intent).alias("submitted_intent"))
+    checks = answer_checks({"": (spec, result)}, tables, expected, compat).drop("answer")
+    checks = checks.unionByName(intent_check(asked).select(*CHECK))
     stamp = F.current_timestamp() if timestamp is None else timestamp
     return (
         assess(checks.withColumn("query", F.lit(question)), ["query"])

@@ -36,6 +36,17 @@ def with_intent(df: DataFrame, text: str = "text", scores: bool = False,
     return out.drop("specification_score", "sales_score", "prediction_score")
 
 
+def classified(df: DataFrame, text: str = "text", scores: bool = False) -> DataFrame:
+    """Add ``language`` and ``intent`` (and its scores); each text is lowered once for both."""
+    out = df.withColumn(_LOW, F.lower(text))
+    low = F.col(_LOW)
+    hits = {f"{intent}_score": score for intent, score in tx.intent_scores(low).items()}
+    out = out.withColumns({**hits, "language": tx.detect_language(low)}).drop(_LOW)
+    out = out.withColumn("intent", tx.intent_from_scores(
+        F.col("specification_score"), F.col("sales_score"), F.col("prediction_score")))
+    return out if scores else out.drop("specification_score", "sales_score", "prediction_score")
+
+
 def with_second_opinion(df: DataFrame, text: str = "text") -> DataFrame:
     """Add ``expected_intent`` by the short word lists."""
     return (

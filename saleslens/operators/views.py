@@ -87,16 +87,15 @@ def integrity_record(master: DataFrame, created_at: Column | str | None = None)
         F.count(F.lit(1)).alias("n"),
         F.coalesce(F.sum(F.when(~F.col("is_summary"), F.col("sales"))), F.lit(0)).alias("detail"),
         F.coalesce(F.sum(F.when(F.col("is_summary"), F.col("sales"))), F.lit(0)).alias("total"),
-        F.collect_set("sales_type").alias("types"),
     )
+    # a few names, from an aggregate of their own: in the wide one above they would be objects
+    types = master.select("sales_type").distinct().agg(F.sort_array(F.collect_set("sales_type")))
     row = per_spec.agg(
         F.count(F.lit(1)).alias("specs_records"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("master_records"),
         F.sum("detail").alias("detail_sales"),
         F.sum("total").alias("total_sales"),
         F.sort_array(F.collect_set("brand")).alias("brands_covered"),
-        # at most one value per sales type in every set
-        F.collect_set("types").alias("type_sets"),
     )
     records = F.col("master_records")
     return row.select(
@@ -109,7 +108,7 @@ def integrity_record(master: DataFrame, created_at: Column | str | None = None)
         F.when(records > 0, F.col("specs_records") / records * 100).otherwise(F.lit(0.0))
         .alias("specs_coverage"),
         "brands_covered",
-        F.sort_array(F.array_distinct(F.flatten("type_sets"))).alias("sales_types"),
+        types.scalar().alias("sales_types"),
     )
 
 

@@ -39,8 +39,8 @@ def source(spec: QuerySpec, tables: SalesTables, compat: bool = False) -> DataFr
     # The stored roll-up holds the same sums in far fewer rows.
     months_only = not (spec.model or any(spec.technical_filters.values()))
     if (name == "detailed" and not spec.is_specification and months_only
-            and spec.aggregation == "sum" and tables.has_stored("monthly")):
-        return tables.monthly.filter("NOT is_total")
+            and spec.aggregation == "sum" and tables.has_stored("rollup")):
+        return tables.stored["rollup"]
     return df
 
 

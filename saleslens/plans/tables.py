@@ -18,7 +18,7 @@ class SalesTables:
     """
 
     def __init__(self, detail: DataFrame, **stored: DataFrame):
-        unknown = set(stored) - {*TABLE_NAMES, "totals"}
+        unknown = set(stored) - {*TABLE_NAMES, "totals", "rollup"}
         if unknown:
             raise ValueError(f"not tables of the model: {sorted(unknown)}")
         self.detail = detail

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -45,3 +47,21 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="saleslens-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def ship(spark: SparkSession, folder: Path = Path(__file__).parent) -> None:
+    """A package's sources to the executors' Python, once for each context.
+
+    They need not have it installed. Spark serves the archive from the driver, as it does files
+    given with ``--py-files``.
+    """
+    sc = spark.sparkContext
+    shipped = sc.__dict__.setdefault("_saleslens_shipped", set())
+    if folder in shipped:
+        return
+    archive = Path(tempfile.mkdtemp(prefix="saleslens-")) / f"{folder.name}_package.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as file:
+        for source in sorted(folder.rglob("*.py")):
+            file.write(source, source.relative_to(folder.parent))
+    sc.addPyFile(str(archive))
+    shipped.add(folder)

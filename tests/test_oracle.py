@@ -5,7 +5,8 @@ from compare import compare
 
 import __spark_entry__ as entry_points
 
-QUERIES, ORACLE = entry_points.queries(), entry_points.oracle_sql()
+from workload.oracle import ORACLE
+from workload.queries import REGISTRY as QUERIES
 
 
 def test_every_query_has_sql():

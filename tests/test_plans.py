@@ -8,9 +8,10 @@ from saleslens.plans.run import run
 from saleslens.plans.tables import SalesTables
 from saleslens.sources import warehouse
 from workload import facts
+from workload.queries import REGISTRY
 
 EAGER = {"ingest_detail", "run_metadata", "sink_roundtrip", "incremental_update", "incremental_update_stream"}
-LAZY = sorted(set(entry_points.queries()) - EAGER)
+LAZY = sorted(set(REGISTRY) - EAGER)
 
 
 def plan_of(df, formatted=False):
@@ -26,7 +27,7 @@ def stored(spark, sf_dir, tmp_path_factory):
 
 @pytest.mark.parametrize("name", LAZY)
 def test_no_python_and_no_pair_products(name, spark, sf_dir):
-    plan = plan_of(entry_points.queries()[name](spark, sf_dir))
+    plan = plan_of(REGISTRY[name](spark, sf_dir))
     for node in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "CartesianProduct",
                  "BroadcastNestedLoopJoin"):
         assert node not in plan, node

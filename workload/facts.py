@@ -7,15 +7,24 @@ grows with the tables.
 
 from __future__ import annotations
 
+import csv
+import io
+import zipfile
+from pathlib import Path
+from xml.sax.saxutils import escape
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saleslens.constants import MONTHS, SALES_BLOCKS, SHEET_POSITIONS, SHEET_WIDTH
 from saleslens.functions.scalars import month_name
-from saleslens.operators.quality import assess, intent_check
+from saleslens.operators.quality import CHECK, answer_checks, assess, intent_check
 from saleslens.operators.totals import with_totals
+from saleslens.plans.run import run
 from saleslens.plans.tables import SalesTables
 from saleslens.schema import FACT
+from saleslens.session import ship
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,6 +112,11 @@ def tables(spark: SparkSession, sf_dir: str) -> SalesTables:
     return SalesTables(detail(spark, sf_dir))
 
 
+def _padded(text: Column) -> Column:
+    """Text between white space that sheets hold in practice: tabs, line breaks, no-break spaces."""
+    return F.concat(F.lit("\t\u00a0"), text, F.lit(" \r\n"))
+
+
 def month_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per vehicle and year the 48 month cells as text, in the order of the sales blocks.
 
@@ -126,6 +140,7 @@ def month_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when((at == retail_feb) & (key % 13 == 3), "1,000")
             .when((at == retail_feb) & (key % 13 == 4), "0.5")
             .when((at == retail_feb) & (key % 13 == 5), "-3")
+            .when((at == wholesale_jan) & (key % 13 == 6), _padded(_text(units)))
             .otherwise(_text(units))
         )
 
@@ -160,12 +175,22 @@ def sheet_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     table = month_cells(spark, sf_dir)
     by_position = {pos: name for name, pos in SHEET_POSITIONS.items()}
+    key = F.col("p_partkey")
+    # the four columns of a sheet that the fact table does not have, and padded labels
+    table = table.withColumns({
+        "no": _text(key % 97), "fc_kml": F.concat(_text(key % 20), F.lit(".5")),
+        "co2": F.when(key % 8 > 0, _text(100 + key % 8)), "tyre_size": _text(13 + key % 6),
+        "vr_id": F.when(key % 17 == 0, _padded(F.col("vr_id"))).otherwise(F.col("vr_id")),
+        "segment": F.when(key % 19 == 0, _padded(F.col("segment"))).otherwise(F.col("segment")),
+        "model": F.when(key % 23 == 0, _padded(F.col("model"))).otherwise(F.col("model")),
+        "tank": F.when(key % 29 == 0, _padded(F.col("tank"))).otherwise(F.col("tank")),
+    })
     given = set(table.columns)
     first_month = min(start for _, _, start in SALES_BLOCKS.values())
     gap = F.array(F.lit(None).cast("string"))
 
     def cell(position: int) -> Column:
-        name = by_position.get(position)
+        name = "vr_id" if position == 0 else by_position.get(position)
         return F.col(name) if name in given else F.lit(None).cast("string")
 
     blocks = [F.slice("months", 1 + 12 * i, 12) for i in range(len(SALES_BLOCKS))]
@@ -259,30 +284,131 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# What is asked of the tables, by the question's number modulo the number of specs. The empty trend
+# and the result that is not a table's reach every outcome of the checks.
+ASKED = {
+    "ranking": {"operation": "model_specs", "intent": "specification"},
+    "comparison": {"operation": "comparison", "intent": "sales"},
+    "empty": {"analysis_type": "trend", "intent": "sales", "brands": ["Brand#0"]},
+    "foreign": {"operation": "comparison", "intent": "general"},
+}
+
+
+def asked(spark: SparkSession, sf_dir: str) -> dict:
+    """Spec and result of each kind of question."""
+    own = tables(spark, sf_dir)
+    results = {name: run(spec, own) for name, spec in ASKED.items()}
+    # brands and sales of the part list, which the tables do not know under these names
+    results["foreign"] = read(spark, sf_dir, "part").select(
+        F.concat(F.col("p_brand"), F.lit("X")).alias("brand"), F.col("p_retailprice").alias("price"))
+    return {name: (ASKED[name], results[name]) for name in ASKED}
+
+
+def recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an earlier build recorded: the rows it was made from."""
+    return read(spark, sf_dir, "lineitem").agg(F.count(F.lit(1)).alias("sales_records"))
+
+
 def checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four checks per question: the intent check as computed, the others by key and size."""
-    asked = intent_check(questions(spark, sf_dir))
-    key, size = F.col("query_id"), F.col("p_size")
-
-    def check(kind: str, score: Column, passed: Column) -> Column:
-        return F.struct(F.lit(kind).alias("check_type"), score.cast("double").alias("score"),
-                        passed.alias("passed"))
-
-    source = size % 3 != 0
-    reference = F.when(size % 4 == 0, 1.0).when(size % 4 == 1, 0.8).when(size % 4 == 2, 0.6).otherwise(0.4)
-    complete = F.when(key % 6 == 1, 0.9).when(key % 6 == 2, 0.7).when(key % 6 == 3, 0.6) \
-        .when(key % 6 == 4, 0.0).otherwise(1.0)
-    return asked.select(
-        "query_id", "submitted_intent", "timestamp", "issues",
-        F.explode(F.array(
-            check("data_source_consistency", F.when(source, 1.0).otherwise(0.5), source),
-            check("cross_reference", reference, size % 4 == 0),
-            check("intent_accuracy", F.col("score"), F.col("passed")),
-            check("result_completeness", complete, complete >= 0.7),
-        )).alias("c"),
-    ).select("query_id", F.col("submitted_intent").alias("intent"), "timestamp", "issues", "c.*")
+    """Four computed checks per question: its intent, and those of the answer it got."""
+    questioned = intent_check(questions(spark, sf_dir)).withColumn(
+        "answer", _nth(list(ASKED), F.col("query_id") % len(ASKED)))
+    keys = ["query_id", F.col("submitted_intent").alias("intent"), "timestamp", "issues"]
+    found = answer_checks(asked(spark, sf_dir), tables(spark, sf_dir), recorded(spark, sf_dir))
+    # three checks for each kind of question
+    return (
+        questioned.select(*keys, *CHECK)
+        .unionByName(questioned.select(*keys, "answer").join(found, "answer").drop("answer"))
+    )
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The assessed answers, one per question."""
     return assess(checks(spark, sf_dir), ["query_id", "intent", "timestamp", "issues"])
+
+
+# --- files --------------------------------------------------------------------------------
+
+def file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file per vehicle and year: its path, the vehicle's cells and the rows left blank."""
+    rows = sheet_cells(spark, sf_dir).filter("row_idx >= 20")
+    key = F.col("row_idx") - 20
+    return rows.select(
+        F.concat_ws("/", "path", _text(key)).alias("path"), "cells",
+        key.alias("p_partkey"), (key % 7).cast("int").alias("blank"))
+
+
+def _workbook(cells: list, blank: int) -> bytes:
+    """A workbook of three head lines, blank rows and one vehicle; its first sheet is the second file."""
+    def letters(index: int) -> str:
+        out, index = "", index + 1
+        while index:
+            index, rest = divmod(index - 1, 26)
+            out = chr(65 + rest) + out
+        return out
+
+    def row(number: int, values) -> str:
+        parts = []
+        for at, value in values:
+            if value is None:
+                continue
+            ref = f"{letters(at)}{number}"
+            if value.isascii() and value.isdigit() and value[0] != "0":
+                parts.append(f'<c r="{ref}"><v>{value}</v></c>')
+            else:
+                body = escape(value, {"\r": "&#13;"})
+                parts.append(f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{body}</t></is></c>')
+        return f'<row r="{number}">{"".join(parts)}</row>'
+
+    titles = [(start, title) for _, title, start in SALES_BLOCKS.values()]
+    names = [(0, "VR-ID"), *((start + i, m.upper()) for _, _, start in SALES_BLOCKS.values() for i, m in enumerate(MONTHS))]
+    lines = [row(1, [(0, "COMPANY")]), row(2, titles), row(3, names), row(4 + blank, enumerate(cells))]
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    parts = {
+        "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="r"><sheets><sheet name="b" r:id="i2"/><sheet name="a" r:id="i1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="i1" Target="worksheets/sheet1.xml"/>'
+                                      '<Relationship Id="i2" Target="worksheets/sheet2.xml"/></Relationships>',
+        "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{main}"><sheetData/></worksheet>',
+        "xl/worksheets/sheet2.xml": f'<worksheet xmlns="{main}"><sheetData>{"".join(lines)}</sheetData></worksheet>',
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as book:
+        for name, text in parts.items():
+            book.writestr(name, text)
+    return out.getvalue()
+
+
+def _csv_file(cells: list, blank: int) -> bytes:
+    """A CSV file: a record over two lines, blank lines, and a vehicle with two cells too many."""
+    titles, names = [""] * SHEET_WIDTH, [""] * SHEET_WIDTH
+    names[0] = "VR-ID"
+    for _, title, start in SALES_BLOCKS.values():
+        titles[start] = title
+        names[start : start + len(MONTHS)] = [m.upper() for m in MONTHS]
+    out = io.StringIO()
+    writer = csv.writer(out)
+    writer.writerows([["COMPANY", "of two\nlines"], titles, names])
+    out.write("\r\n" * blank)
+    writer.writerow([*(c or "" for c in cells), "more", "cells"])
+    return out.getvalue().encode()
+
+
+def files(spark: SparkSession, sf_dir: str, make) -> DataFrame:
+    """``path`` and ``content`` of the files; every 97th vehicle's are cut off in the middle."""
+    def contents(batches):
+        for batch in batches:
+            made = [make(list(c), b) for c, b in zip(batch["cells"], batch["blank"])]
+            yield pd.DataFrame({"path": batch["path"], "content": [
+                m[: len(m) // 2] if k % 97 == 0 else m for m, k in zip(made, batch["p_partkey"])]})
+
+    ship(spark)
+    ship(spark, Path(__file__).parent)
+    return file_rows(spark, sf_dir).mapInPandas(contents, "path string, content binary")
+
+
+def workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files(spark, sf_dir, _workbook)
+
+
+def csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files(spark, sf_dir, _csv_file)

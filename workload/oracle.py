@@ -119,6 +119,42 @@ FROM fact GROUP BY brand, sales_type, year
 UNION ALL
 SELECT 'recorded', 'rows', CAST(NULL AS INT), count(*) FROM master""")
 
+on_master("export_roundtrip", f"""
+, monthly AS ({_MONTHLY}),
+comparison AS (SELECT brand, sales_type, year, sum(sales) AS sales FROM fact GROUP BY ALL),
+specs AS (SELECT DISTINCT brand, segment, model, year, month, vr_id, cc, transmission, fuel, gvw,
+  wheel, ps_hp, dimension, seater FROM master),
+listed AS (
+  SELECT 'master' AS table_name, brand, sales FROM master
+  UNION ALL SELECT 'sales_only', brand, sales FROM master
+  UNION ALL SELECT 'summary', brand, sales FROM total
+  UNION ALL SELECT 'detailed', brand, sales FROM fact
+  UNION ALL SELECT 'monthly', brand, sales FROM monthly
+  UNION ALL SELECT 'brand_comparison', brand, sales FROM comparison
+  UNION ALL SELECT 'specs_only', brand, NULL FROM specs
+)
+SELECT table_name, count(*) AS n_rows, count(DISTINCT brand) AS brands,
+  CAST(sum(sales) AS BIGINT) AS sales FROM listed GROUP BY table_name""")
+on_fact("stored_equals_derived", """
+, odd AS (
+  SELECT CASE WHEN p_partkey % 5 = 0 THEN concat('00', CAST(p_partkey % 3 AS VARCHAR)) ELSE brand END
+      AS brand, CASE WHEN p_partkey % 7 > 0 THEN segment END AS segment,
+    CASE WHEN p_partkey % 11 > 0 THEN month END AS month, sales_type, year, sales FROM fact
+),
+asked AS (
+  SELECT 'trend' AS question, brand, sales_type, month, sum(sales) AS sales FROM (
+    SELECT brand, concat('TOTAL ', brand) AS segment, month, sales_type, sales FROM odd)
+  WHERE month IS NOT NULL GROUP BY ALL
+  UNION ALL
+  SELECT 'default', brand, sales_type, month, sum(sales) FROM odd
+  WHERE month IN ('jan', 'jul') GROUP BY ALL
+  UNION ALL
+  SELECT 'years', brand, sales_type, month, sum(sales) FROM odd
+  WHERE year = 1997 AND segment = 'ECONOMY' AND month IS NOT NULL GROUP BY ALL
+)
+SELECT source, question, brand, sales_type, month, CAST(sales AS BIGINT) AS sales
+FROM asked CROSS JOIN (VALUES ('stored'), ('derived')) AS s(source)""")
+
 # --- filters ------------------------------------------------------------------------------
 _BY_BRAND = "SELECT brand, count(*) AS n_rows, CAST(sum(sales) AS BIGINT) AS sales FROM"
 on_fact("filter_in", f"""{_BY_BRAND} fact
@@ -344,12 +380,15 @@ cell AS (
     WHEN sales_type = 'retail_sales' AND month = 'feb' AND p_partkey % 13 = 3 THEN '1,000'
     WHEN sales_type = 'retail_sales' AND month = 'feb' AND p_partkey % 13 = 4 THEN '0.5'
     WHEN sales_type = 'retail_sales' AND month = 'feb' AND p_partkey % 13 = 5 THEN '-3'
+    WHEN sales_type = 'wholesales' AND month = 'jan' AND p_partkey % 13 = 6
+      THEN CASE WHEN units IS NULL THEN NULL
+        ELSE concat(chr(9), chr(160), CAST(units AS VARCHAR), ' ', chr(13), chr(10)) END
     ELSE CAST(units AS VARCHAR) END AS value
   FROM grid
 ),
 sold AS (
-  SELECT *, CASE WHEN TRY_CAST(value AS DOUBLE) > 0
-    THEN CAST(trunc(TRY_CAST(value AS DOUBLE)) AS BIGINT) END AS sales FROM cell
+  SELECT *, CASE WHEN TRY_CAST(trim(value, concat(chr(9), chr(160), ' ', chr(13), chr(10))) AS DOUBLE) > 0
+    THEN CAST(trunc(TRY_CAST(trim(value, concat(chr(9), chr(160), ' ', chr(13), chr(10))) AS DOUBLE)) AS BIGINT) END AS sales FROM cell
 ),
 filled AS (
   SELECT * EXCLUDE (sales), coalesce(sales, 0) AS sales FROM sold
@@ -411,21 +450,33 @@ _MONTH_COLUMNS = ", ".join(
     for m in "jan feb mar apr may jun jul aug sep oct nov dec".split())
 on_wide("ingest_project", f"""
 , months AS (SELECT p_partkey, year, {_MONTH_COLUMNS} FROM cell GROUP BY p_partkey, year)
-SELECT path, CAST(20 + p_partkey AS BIGINT) AS row_idx, vr_id, segment, model, {_SPECS},
+SELECT path, CAST(20 + p_partkey AS BIGINT) AS row_idx,
+  CAST(15 + p_partkey - year % 5 AS BIGINT) AS row_index, vr_id, segment, model, {_SPECS},
+  CAST(p_partkey % 97 AS VARCHAR) AS no, concat(CAST(p_partkey % 20 AS VARCHAR), '.5') AS fc_kml,
+  CASE WHEN p_partkey % 8 > 0 THEN CAST(100 + p_partkey % 8 AS VARCHAR) ELSE '' END AS co2,
+  CAST(13 + p_partkey % 6 AS VARCHAR) AS tyre_size,
   months.* EXCLUDE (p_partkey, year)
 FROM sheet JOIN months USING (p_partkey, year)""")
 on_wide("unpivot_sales",
-        "SELECT vr_id, year, sales_type, month, value FROM cell WHERE value IS NOT NULL")
+        "SELECT vr_id, year, sales_type, month, value FROM cell")
 on_wide("clean_sales",
         "SELECT vr_id, year, sales_type, month, sales FROM sold WHERE sales IS NOT NULL")
 on_wide("zero_fill", "SELECT vr_id, model, year, sales_type, month, sales FROM filled")
 on_wide("ingest_rejects", """
 SELECT vr_id, year, sales_type, month, value FROM cell
-WHERE value IS NOT NULL AND TRY_CAST(value AS DOUBLE) IS NULL""")
+WHERE value IS NOT NULL AND TRY_CAST(trim(value, concat(chr(9), chr(160), ' ', chr(13), chr(10))) AS DOUBLE) IS NULL""")
 on_wide("ingest_detail", f"""
 SELECT upper(replace(brand, '#', '_')) AS brand, segment, model, month, sales_type, sales, year,
-  false AS is_summary, CAST(20 + p_partkey AS BIGINT) AS row_index, vr_id, {_SPECS}
-FROM filled WHERE brand NOT LIKE '%7'""")
+  false AS is_summary, CAST(15 + p_partkey - year % 5 AS BIGINT) AS row_index, vr_id, {_SPECS}
+FROM filled""")
+for _name in ("ingest_workbooks", "ingest_csv"):
+    on_wide(_name, f"""
+SELECT upper(replace(brand, '#', '_')) AS brand, segment, model, month, sales_type, sales, year,
+  false AS is_summary, CAST(p_partkey % 7 AS BIGINT) AS row_index, vr_id, {_SPECS}
+FROM filled WHERE p_partkey % 97 <> 0""")
+on_wide("ingest_problems", """
+SELECT concat(path, '/', CAST(p_partkey AS VARCHAR)) AS path, true AS has_reason
+FROM sheet WHERE p_partkey % 97 = 0""")
 on_wide("run_metadata", """
 , summary AS (SELECT DISTINCT brand, year, sales_type FROM filled)
 SELECT (SELECT string_agg(DISTINCT file_brand, ',' ORDER BY file_brand) FROM sheet)
@@ -434,9 +485,13 @@ SELECT (SELECT string_agg(DISTINCT file_brand, ',' ORDER BY file_brand) FROM she
   (SELECT count(*) FROM filled) AS detailed_records,
   (SELECT count(*) FROM summary) AS summary_records,
   '2025-01-01T00:00:00' AS processing_date,
-  (SELECT count(DISTINCT path) FROM sheet) AS files_processed,
-  CAST(0 AS BIGINT) AS unreadable_files,
-  (SELECT count(*) FROM cell WHERE value IS NOT NULL AND TRY_CAST(value AS DOUBLE) IS NULL)
+  (SELECT count(DISTINCT path) FROM sheet) + (SELECT count(*) FROM part WHERE p_partkey % 50 = 0)
+    AS files_processed,
+  (SELECT count(*) FROM part WHERE p_partkey % 50 = 0) AS unreadable_files,
+  (SELECT string_agg(concat(p, ' BadZipFile: cut'), ',' ORDER BY p) FROM (
+    SELECT concat('1999/', CAST(p_partkey AS VARCHAR), '.xlsx') AS p FROM part
+    WHERE p_partkey % 50 = 0 ORDER BY p LIMIT 5)) AS problems,
+  (SELECT count(*) FROM cell WHERE value IS NOT NULL AND TRY_CAST(trim(value, concat(chr(9), chr(160), ' ', chr(13), chr(10))) AS DOUBLE) IS NULL)
     AS rejected_cells""")
 _UPDATED = """
 , fact AS (SELECT upper(replace(brand, '#', '_')) AS brand, year, sales_type, sales FROM filled)"""
@@ -541,18 +596,41 @@ checked AS (
       WHEN submitted_intent = intent THEN 0.7 ELSE 0.3 END AS score
   FROM judged
 )"""
-_ANSWERED = _CHECKED + """,
-answer AS (
-  SELECT query_id, submitted_intent AS intent, timestamp, issue_1, issue_2,
-    p_size % 3 <> 0 AS source_ok, p_size % 4 = 0 AS reference_ok, passed AS intent_ok,
-    query_id % 6 NOT IN (3, 4) AS complete_ok,
-    round(CAST((CASE WHEN p_size % 3 <> 0 THEN 10 ELSE 5 END
-      + CASE p_size % 4 WHEN 0 THEN 10 WHEN 1 THEN 8 WHEN 2 THEN 6 ELSE 4 END
-      + CAST(score * 10 AS INT)
-      + CASE query_id % 6 WHEN 1 THEN 9 WHEN 2 THEN 7 WHEN 3 THEN 6 WHEN 4 THEN 0 ELSE 10 END
-      ) AS DOUBLE) / 40, 9) AS accuracy_score
+# What the answers' checks come to: ranking, comparison, an empty trend and a foreign result.
+_CHECKS = f"""{FACT},{TOTALS},
+counted AS (
+  SELECT abs((SELECT count(*) FROM master) - count(*)) <= 0.05 * count(*) AS near FROM lineitem
+),
+verdict AS (
+  SELECT 'ranking' AS answer, 'data_source_consistency' AS check_type, 1.0 AS score, true AS passed
+  UNION ALL SELECT 'comparison', 'data_source_consistency', 1.0, true
+  UNION ALL SELECT 'empty', 'data_source_consistency', 1.0, true
+  UNION ALL SELECT 'foreign', 'data_source_consistency', 1.0, true
+  UNION ALL SELECT answer, 'cross_reference', CASE WHEN near THEN 1.0 ELSE 0.8 END, near
+    FROM counted CROSS JOIN (VALUES ('ranking'), ('comparison'), ('empty')) AS v(answer)
+  UNION ALL SELECT 'foreign', 'cross_reference', CASE WHEN near THEN 0.6 ELSE 0.4 END, false FROM counted
+  UNION ALL SELECT 'ranking', 'result_completeness', 1.0, true
+  UNION ALL SELECT 'comparison', 'result_completeness', 1.0, true
+  UNION ALL SELECT 'empty', 'result_completeness', 0.0, false
+  UNION ALL SELECT 'foreign', 'result_completeness', 1.0, true
+)"""
+_ANSWERED = _CHECKS + "," + _CHECKED + """,
+each AS (
+  SELECT query_id, submitted_intent AS intent, timestamp, issue_1, issue_2, passed AS intent_ok,
+    score AS intent_score, CASE query_id % 4 WHEN 0 THEN 'ranking' WHEN 1 THEN 'comparison'
+      WHEN 2 THEN 'empty' ELSE 'foreign' END AS answer
   FROM checked
 ),
+answer AS (
+  SELECT query_id, intent, timestamp, issue_1, issue_2, intent_ok,
+    bool_and(passed) FILTER (WHERE check_type = 'data_source_consistency') AS source_ok,
+    bool_and(passed) FILTER (WHERE check_type = 'cross_reference') AS reference_ok,
+    bool_and(passed) FILTER (WHERE check_type = 'result_completeness') AS complete_ok,
+    round(CAST((sum(CAST(round(score * 10) AS INT)) + max(CAST(round(intent_score * 10) AS INT))) AS DOUBLE) / 40, 9)
+      AS accuracy_score
+  FROM each JOIN verdict USING (answer)
+  GROUP BY ALL
+),
 advice AS (
   SELECT query_id, accuracy_score, 'Consider reviewing data source selection logic for better accuracy'
     AS recommendation FROM answer WHERE NOT source_ok
@@ -575,12 +653,11 @@ advice AS (
 ORACLE["quality_intent"] = f"""WITH {_CHECKED}
 SELECT query_id, submitted_intent, intent AS reclassified_intent, expected_intent,
   CAST(score AS DOUBLE) AS score, passed FROM checked"""
-ORACLE["quality_source"] = """
-SELECT CASE p_partkey % 3 WHEN 0 THEN 'ranking' WHEN 1 THEN 'comparison' ELSE 'odd' END AS answer,
-  'data_source_consistency' AS check_type,
-  CAST(CASE p_partkey % 3 WHEN 2 THEN 0.5 ELSE 1.0 END AS DOUBLE) AS score,
-  p_partkey % 3 <> 2 AS passed, count(*) AS n_queries
-FROM part GROUP BY ALL"""
+ORACLE["validate_answers"] = f"""WITH {_CHECKS}
+SELECT answer, check_type, CAST(score AS DOUBLE) AS score, passed FROM verdict"""
+ORACLE["quality_source"] = f"""WITH {_ANSWERED}
+SELECT intent, 'data_source_consistency' AS check_type, CAST(1.0 AS DOUBLE) AS score,
+  source_ok AS passed, count(*) AS n_queries FROM answer GROUP BY intent, source_ok"""
 on_fact("quality_brand_subset", """
 SELECT DISTINCT b AS brand FROM (
   SELECT CASE WHEN p_partkey % 50 = 0 THEN concat(p_brand, 'X') ELSE p_brand END AS b FROM part)

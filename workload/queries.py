@@ -17,7 +17,7 @@ from saleslens.plans.run import run
 from saleslens.plans.tables import SalesTables
 from saleslens.session import shared_dir
 from saleslens.sources import warehouse
-from saleslens.sources.workbooks import path_keys
+from saleslens.sources.workbooks import decode_csv, decode_workbooks, path_keys, unreadable
 from saleslens.streaming.update import update, update_stream
 
 from . import facts
@@ -87,19 +87,18 @@ def ingest_month_columns(spark, sf_dir):
 @register
 def ingest_vehicle_rows(spark, sf_dir):
     rows = sheet.vehicle_rows(facts.sheet_cells(spark, sf_dir))
-    return rows.select("path", "row_idx", F.trim(sheet.cell(0)).alias("vr_id"))
+    return rows.select("path", "row_idx", sc.strip(sheet.cell(0)).alias("vr_id"))
 
 
 @register
 def ingest_project(spark, sf_dir):
-    rows = sheet.project_columns(sheet.vehicle_rows(facts.sheet_cells(spark, sf_dir)))
-    return rows.drop("no", "fc_kml", "co2", "tyre_size")
+    return sheet.project_columns(sheet.vehicle_rows(facts.sheet_cells(spark, sf_dir)))
 
 
 @register
 def unpivot_sales(spark, sf_dir):
     wide = facts.wide(spark, sf_dir).select("vr_id", "year", *reshape.MONTH_COLUMNS)
-    return reshape.unpivot_months(wide).filter(F.col("value").isNotNull())
+    return reshape.unpivot_months(wide)
 
 
 @register
@@ -124,7 +123,30 @@ def ingest_rejects(spark, sf_dir):
 def ingest_detail(spark, sf_dir):
     """Sheets to fact rows by way of a staging table, as for workbooks."""
     staged = stage(facts.sheet_cells(spark, sf_dir), shared_dir(spark, "sheets"))
-    return detail_from_sheets(staged, brands=_file_brands(spark, sf_dir))
+    return detail_from_sheets(staged, brands=_all_file_brands(spark, sf_dir))
+
+
+@register
+def ingest_workbooks(spark, sf_dir):
+    """One small workbook per vehicle and year, decoded to fact rows; damaged ones give none."""
+    sheets = decode_workbooks(facts.workbooks(spark, sf_dir))
+    staged = stage(sheets, shared_dir(spark, "sheets"))
+    return detail_from_sheets(staged, brands=_all_file_brands(spark, sf_dir))
+
+
+@register
+def ingest_csv(spark, sf_dir):
+    """The same vehicles as CSV files, with blank lines, split records and cells too many."""
+    sheets = decode_csv(facts.csv_files(spark, sf_dir))
+    staged = stage(sheets, shared_dir(spark, "sheets"))
+    return detail_from_sheets(staged, brands=_all_file_brands(spark, sf_dir))
+
+
+@register
+def ingest_problems(spark, sf_dir):
+    """The files that could not be read, and whether each comes with a reason."""
+    sheets = decode_workbooks(facts.workbooks(spark, sf_dir))
+    return unreadable(sheets).select("path", (F.length("reason") > 0).alias("has_reason"))
 
 
 @register
@@ -132,8 +154,13 @@ def run_metadata(spark, sf_dir):
     """What a build over the sheets reports about itself."""
     sheets = stage(facts.sheet_cells(spark, sf_dir), shared_dir(spark, "sheets"))
     detail = detail_from_sheets(sheets, brands=_all_file_brands(spark, sf_dir))
-    record = run_record(with_totals(detail), sheets, "2025-01-01T00:00:00")
-    return record.withColumn("brands_processed", F.array_join("brands_processed", ","))
+    damaged = facts.read(spark, sf_dir, "part").filter("p_partkey % 50 = 0").select(
+        F.concat(F.lit("1999/"), F.col("p_partkey").cast("string"), F.lit(".xlsx")).alias("path"),
+        F.lit(-1).cast("bigint").alias("row_idx"), F.array(F.lit("BadZipFile: cut")).alias("cells"))
+    record = run_record(with_totals(detail), sheets.drop("first_cell").unionByName(damaged), "2025-01-01T00:00:00")
+    problems = F.transform("problems", lambda p: F.concat_ws(" ", p["path"], p["reason"]))
+    return record.withColumn("brands_processed", F.array_join("brands_processed", ",")).withColumn(
+        "problems", F.array_join(problems, ","))
 
 
 # --- totals and views ---------------------------------------------------------------------
@@ -222,6 +249,41 @@ def sink_roundtrip(spark, sf_dir):
     return stored.brand_comparison.unionByName(recorded)
 
 
+@register
+def export_roundtrip(spark, sf_dir):
+    """All seven tables as files of their own, read back: rows and sales of each."""
+    root = shared_dir(spark, "export")
+    warehouse.export(facts.tables(spark, sf_dir), root)
+    out = None
+    for name, df in warehouse.import_exported(spark, root).items():
+        sales = F.sum("sales") if "sales" in df.columns else F.lit(None)
+        row = df.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("brand").alias("brands"),
+                     sales.cast("bigint").alias("sales")).withColumn("table_name", F.lit(name))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@register
+def stored_equals_derived(spark, sf_dir):
+    """The same questions of written and of derived tables, over facts with null segments and
+    months and with brands that look like numbers."""
+    key = F.substring("vr_id", 3, 8).cast("int")
+    detail = facts.detail(spark, sf_dir).withColumns({
+        "brand": F.when(key % 5 == 0, F.concat(F.lit("00"), (key % 3).cast("string"))).otherwise(F.col("brand")),
+        "segment": F.when(key % 7 > 0, F.col("segment")),
+        "month": F.when(key % 11 > 0, F.col("month")),
+    })
+    stored = warehouse.save(spark, detail, shared_dir(spark, "stored"))
+    out = None
+    for source, tables in (("stored", stored), ("derived", SalesTables(detail))):
+        for name, spec in (("trend", {"analysis_type": "trend"}), ("default", {"months": ["jan", "jul"]}),
+                           ("years", {"years": [1997], "segments": ["ECONOMY"]})):
+            row = run(spec, tables).select(F.lit(source).alias("source"), F.lit(name).alias("question"),
+                                           "brand", "sales_type", "month", "sales")
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
 # --- filters ------------------------------------------------------------------------------
 
 def _by_brand(df):
@@ -471,14 +533,13 @@ def classify_intent(spark, sf_dir):
 @register
 def classify_documents(spark, sf_dir):
     docs = facts.read(spark, sf_dir, "documents").select("doc_id", "text")
-    return questions.with_language(questions.with_intent(docs)).select(
-        "doc_id", "language", "intent")
+    return questions.classified(docs).select("doc_id", "language", "intent")
 
 
 @register
 def classify_conversations(spark, sf_dir):
     turns = facts.read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    return questions.with_language(questions.with_intent(turns, scores=True)).drop("text")
+    return questions.classified(turns, scores=True).drop("text")
 
 
 # --- quality ------------------------------------------------------------------------------
@@ -490,29 +551,20 @@ def quality_intent(spark, sf_dir):
                           "expected_intent", "score", "passed")
 
 
+@register
+def validate_answers(spark, sf_dir):
+    """The checks of four real answers: a ranking, a comparison, an empty one and a foreign one."""
+    checks = quality.answer_checks(facts.asked(spark, sf_dir), facts.tables(spark, sf_dir),
+                                   facts.recorded(spark, sf_dir))
+    return checks.withColumn("score", F.round("score", 6))
+
+
 @register
 def quality_source(spark, sf_dir):
-    """The source check of three results, by what their columns are."""
-    tables = facts.tables(spark, sf_dir)
-    out = None
-    for name, source, spec in [
-        ("ranking", "detailed", {"operation": "model_specs"}),
-        ("comparison", "summary", {"operation": "comparison"}),
-    ]:
-        columns = run(spec, tables).columns
-        row = quality.source_check(spark, source, columns).withColumn("answer", F.lit(name))
-        out = row if out is None else out.unionByName(row)
-    odd = quality.source_check(spark, "summary", ["p_name"]).withColumn("answer", F.lit("odd"))
-    answers = out.unionByName(odd)
-    # what each check is worth over the whole question log
-    return (
-        facts.questions(spark, sf_dir)
-        .withColumn("answer", F.when(F.col("query_id") % 3 == 0, "ranking")
-                    .when(F.col("query_id") % 3 == 1, "comparison").otherwise("odd"))
-        .join(F.broadcast(answers), "answer")
-        .groupBy("answer", "check_type", "score", "passed")
-        .agg(F.count(F.lit(1)).alias("n_queries"))
-    )
+    """How many questions of the log got an answer from the right source, and what that scored."""
+    checked = facts.checks(spark, sf_dir).filter("check_type = 'data_source_consistency'")
+    return checked.groupBy("intent", "check_type", "score", "passed").agg(
+        F.count(F.lit(1)).alias("n_queries"))
 
 
 @register
@@ -530,9 +582,8 @@ def quality_brand_subset(spark, sf_dir):
 def quality_cross_reference(spark, sf_dir):
     tables = facts.tables(spark, sf_dir)
     result = run({"operation": "comparison"}, tables)
-    recorded = facts.read(spark, sf_dir, "lineitem").agg(
-        F.count(F.lit(1)).alias("sales_records"))
-    row = quality.cross_reference(result, tables.sales_only, tables.specs_only, recorded)
+    row = quality.cross_reference(result, tables.sales_only, tables.specs_only,
+                                  facts.recorded(spark, sf_dir))
     return row.withColumn("score", F.round("score", 6))
 
 
