@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
 from collections.abc import Callable, Iterable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from saleslens.session import shared_dir
+from saleslens.session import shared_dir, ship
 
 # ---------------------------------------------------------------------------------------------
 # Spark side
@@ -47,20 +44,6 @@ def add_fields(schema: T.StructType, *fields: tuple[str, T.DataType]) -> T.Struc
     return T.StructType([*schema.fields, *(T.StructField(n, t) for n, t in fields)])
 
 
-def ship(spark: SparkSession) -> None:
-    """This package to the executors' Python, once for each context: they need not have it."""
-    sc = spark.sparkContext
-    if getattr(sc, "_saleslens_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="saleslens-")) / "saleslens_package.zip"
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as file:
-        for source in sorted(root.rglob("*.py")):
-            file.write(source, source.relative_to(root.parent))
-    sc.addPyFile(str(archive))
-    sc._saleslens_shipped = True
-
-
 def map_batches(df: DataFrame, schema: T.StructType, fn: Callable) -> DataFrame:
     """``mapInArrow`` with this package at hand."""
     ship(df.sparkSession)
