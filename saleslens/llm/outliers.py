@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from saleslens.llm.common import col, map_rows, ship, staged
+from saleslens.llm.common import col, map_rows, staged
+from saleslens.session import ship
 
 FEATURES = ("word_length", "signs", "dup_lines", "repeats", "length")
 #: Scatter below this in a statistic counts as this: a statistic that is the same for most
@@ -33,9 +34,10 @@ FLOORS = (0.06, 0.15, 0.30, 0.25, 0.50)
 LEAST_ROWS = 40
 SUPPORT = 0.5
 STEPS = 6
-QUANTILE = 1 - 1e-9
+QUANTILE = 1 - 1e-12
 BINS_PER_OCTAVE = 16
-STARTS = 3
+#: A group's rows meet its model in so many parts.
+PARTS = 32
 
 _SPACES = " \t\n\r\x0b\x0c"
 _SYMBOLS = "#*$%&|<>"
@@ -160,6 +162,18 @@ def _distance(rows: DataFrame):
     return sum(p * p for p in parts)
 
 
+def _parted(rows: DataFrame, *by: str) -> DataFrame:
+    """``rows`` with the part of their group that they are in."""
+    return rows.withColumn("part", F.pmod(F.xxhash64(*by), F.lit(PARTS)).cast("int"))
+
+
+def _with(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """Rows joined with their group's row of ``model``, which comes once for each part: a large
+    group is spread over the tasks, also where the model is too large to be broadcast."""
+    parts = model.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return rows.join(parts, ["g", "part"]).drop("part")
+
+
 def _bin(distance):
     return F.greatest(F.lit(-320), F.least(F.lit(960), F.floor(F.log2(distance + 1e-30) * BINS_PER_OCTAVE))).cast("int")
 
@@ -168,12 +182,13 @@ def _starts(rows: DataFrame) -> DataFrame:
     """Three first scatters of each group: of tanh scores, of spatial signs, and the plain scales."""
     x = [F.element_at("x", i + 1) for i in range(_P)]
     middle = rows.groupBy("g").agg(*(F.percentile(F.round(v, 3), F.lit(0.5)).alias(f"a{i}") for i, v in enumerate(x)))
-    spread = (rows.join(middle, "g").groupBy("g").agg(
+    middle = staged(middle, "outliers-middle")
+    spread = (_with(rows, middle).groupBy("g").agg(
         *(F.first(f"a{i}").alias(f"a{i}") for i in range(_P)),
         *(F.percentile(F.round(F.abs(v - F.col(f"a{i}")), 3), F.lit(0.5)).alias(f"d{i}") for i, v in enumerate(x))))
     spread = staged(spread, "outliers-spread")
     score = [(v - F.col(f"a{i}")) / F.greatest(F.col(f"d{i}") * 1.4826, F.lit(FLOORS[i])) for i, v in enumerate(x)]
-    scored = rows.join(spread, "g").select("g", F.array(*score).alias("z"), *(f"{k}{i}" for k in "ad" for i in range(_P)))
+    scored = _with(rows, spread).select("g", F.array(*score).alias("z"), *(f"{k}{i}" for k in "ad" for i in range(_P)))
     z = [F.element_at("z", i + 1) for i in range(_P)]
     norm = F.sqrt(sum(v * v for v in z) + 1e-12)
     keep = [F.first(f"{k}{i}").alias(f"{k}{i}") for k in "ad" for i in range(_P)]
@@ -204,7 +219,7 @@ def _starts(rows: DataFrame) -> DataFrame:
 def _step(rows: DataFrame, model: DataFrame, support: float) -> DataFrame:
     """A C-step of all groups and starts: centre and scatter of the nearest ``support`` of rows."""
     x = [F.element_at("x", i + 1) for i in range(_P)]
-    binned = rows.join(model, "g").withColumn("b", _bin(_distance(rows)))
+    binned = _with(rows, model).withColumn("b", _bin(_distance(rows)))
     sums = binned.groupBy("g", "s", "b").agg(F.count(F.lit(1)).alias("n"), *_moments(x))
 
     def fn(table: pa.Table) -> pa.Table:
@@ -224,7 +239,7 @@ def _best(rows: DataFrame, model: DataFrame) -> DataFrame:
     """Of each group the start of least determinant, scaled so that its middle distance is right."""
     best = model.groupBy("g").agg(F.min(F.struct("logdet", "s", "c", "w")).alias("m")).select("g", "m.s", "m.c", "m.w", "m.logdet")
     best = staged(best, "outliers-best")
-    bins = rows.join(best, "g").groupBy("g", _bin(_distance(rows)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    bins = _with(rows, best).groupBy("g", _bin(_distance(rows)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
     target = chi2_quantile(SUPPORT, _P)
 
     def fn(table: pa.Table) -> pa.Table:
@@ -294,9 +309,11 @@ def outliers(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     ))
     judged = counted.where("not base_failed").withColumn("x", x)
     grouped = staged(_grouped(judged, least), "outliers-vectors")
-    model = estimate(grouped.where("g is not null").select("g", "x"))
+    grouped = _parted(grouped, "doc_id", "n_words", "word_chars")
+    model = estimate(grouped.where("g is not null").select("g", "x", "part"))
     cutoff = chi2_quantile(quantile, _P)
-    far = grouped.join(model.select("g", "c", "w", "scale"), "g", "left").withColumn("distance", F.sqrt(_distance(grouped) * F.col("scale")))
+    parts = model.select("g", "c", "w", "scale", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    far = grouped.join(parts, ["g", "part"], "left").withColumn("distance", F.sqrt(_distance(grouped) * F.col("scale")))
     out = ["doc_id", *names[:-1], "base_failed"]
     near = far.select(*out, F.coalesce(F.col("distance") <= math.sqrt(cutoff), F.lit(True)).alias("kept"), "distance")
     failed = counted.where("base_failed").select(*out, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance"))
