@@ -20,8 +20,9 @@ def first_value(column: str, order: str) -> Column:
 def top_models(df: DataFrame, k: int = 10) -> DataFrame:
     """The k best-selling models with rank and specifications; equal sales rank by name.
 
-    Sales per model come first and need two columns. Only the rows of the k winners are read for
-    specifications, so that no text is aggregated for models that are left out.
+    Sales per model come first and need two columns. The specification columns are then read
+    again, but only the rows of the k winners go on from the join, so that no text is aggregated
+    for models that are left out.
     """
     best = sum_by(df, ["model"]).orderBy(F.desc("sales"), "model").limit(k)
     specs = [c for c in RANKING_SPECS if c in df.columns]

@@ -661,7 +661,8 @@ def _delivery(spark, sf_dir, whole: bool):
 
 @register
 def incremental_update(spark, sf_dir):
-    """Two deliveries under the same names; the second replaces part of the first."""
+    """Three deliveries under the same names: the second replaces part of the first; in the third
+    files of 1997 are gone and files of 1999 hold no vehicle any more."""
     landing, root = shared_dir(spark, "landing"), shared_dir(spark, "tables")
     brands = _all_file_brands(spark, sf_dir)
 
@@ -687,12 +688,23 @@ def incremental_update(spark, sf_dir):
             .partitionBy("year", "brand").parquet(landing)
         )
         update(spark, listing(), root, ingest)
+    gone = listing().filter(F.col("brand").endswith("3") & (F.col("year") == 1997))
+    for row in gone.select("year", "brand").distinct().collect():
+        warehouse.delete_folder(spark, f"{landing}/year={row.year}/brand={row.brand}")
+    emptied = (F.col("year") == 1999) & F.col("brand").endswith("4") & (F.col("row_idx") < 20)
+    (
+        _delivery(spark, sf_dir, True).filter(emptied)
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("year", "brand").parquet(landing)
+    )
+    update(spark, listing(), root, ingest)
     return warehouse.load(spark, root).totals
 
 
 @register
 def incremental_update_stream(spark, sf_dir):
-    """The same deliveries under new names, taken in by a streaming source."""
+    """The first two deliveries under new names, taken in by a streaming source. Each comes in two
+    files, one for each batch, so that every sheet is cut."""
     landing, root = shared_dir(spark, "arrivals"), shared_dir(spark, "tables")
     checkpoint = shared_dir(spark, "progress")
     brands = _all_file_brands(spark, sf_dir)
@@ -703,11 +715,12 @@ def incremental_update_stream(spark, sf_dir):
 
     for number, whole in enumerate((False, True)):
         (
-            _delivery(spark, sf_dir, whole).hint("rebalance", F.col("year"), F.col("brand"))
+            _delivery(spark, sf_dir, whole).repartition(2)
             .write.mode("append").parquet(f"{landing}/delivery={number}")
         )
         arrivals = (
-            spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(landing)
+            spark.readStream.schema(schema).option("recursiveFileLookup", True)
+            .option("maxFilesPerTrigger", 1).parquet(landing)
             .withColumn("delivery", F.regexp_extract("_metadata.file_path", "delivery=([0-9]+)", 1))
             .withColumn("delivered_at", F.col("_metadata.file_modification_time"))
         )
