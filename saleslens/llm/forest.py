@@ -10,7 +10,7 @@ threshold is left; the rest joins into candidate groups.
 
 Inside candidate groups every pair is verified on the exact shingle sets (64-bit hashes of them).
 Groups beyond a block are dealt as pairs of blocks: each text goes to as many tasks as the group has
-blocks, and a task hands on counts and a spanning forest of its links, never the pairs.
+blocks, and a task hands on counts and stars over its linked texts, never the pairs.
 """
 
 from __future__ import annotations
@@ -62,29 +62,40 @@ def _spread(least: np.ndarray) -> np.ndarray:
         return ((least ^ (least >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(48)
 
 
-def _joined(near: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
-    """A spanning forest of a symmetric relation, and each row's tree."""
-    tree, edges = np.full(len(near), -1), []
+def _clusters(near: np.ndarray) -> np.ndarray:
+    """The connected parts of a symmetric relation, by their first row."""
+    cluster = np.full(len(near), -1)
     for root in range(len(near)):
-        if tree[root] >= 0:
+        if cluster[root] >= 0:
             continue
-        tree[root], stack = root, [root]
+        cluster[root], stack = root, [root]
         while stack:
-            at = stack.pop()
-            for other in np.flatnonzero(near[at] & (tree < 0)):
-                tree[other] = root
-                edges.append((at, int(other)))
+            for other in np.flatnonzero(near[stack.pop()] & (cluster < 0)):
+                cluster[other] = root
                 stack.append(int(other))
-    return edges, tree
+    return cluster
 
 
-def _walk(labels: np.ndarray, own: np.ndarray, shortest: int, cut: float) -> list[tuple[int, int]]:
-    """Links of a bucket that its hashes allow: ``labels`` are whole signatures, ``own`` the sorted
-    labels of the bucket's tree."""
+def _stars(cluster: np.ndarray, rid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from the least row of each cluster to its others. Different tasks that see parts of
+    one large group mostly agree on the least row, so that their edges coincide."""
+    order = np.lexsort((rid, cluster))
+    cluster, rid = cluster[order], rid[order]
+    starts = np.concatenate(([0], np.flatnonzero(cluster[1:] != cluster[:-1]) + 1))
+    sizes = np.diff(np.append(starts, len(rid)))
+    least = np.repeat(rid[starts], sizes)
+    others = np.ones(len(rid), bool)
+    others[starts] = False
+    return least[others], rid[others]
+
+
+def _walk(labels: np.ndarray, own: np.ndarray, shortest: int, cut: float) -> np.ndarray:
+    """The clusters of a bucket that its hashes allow: ``labels`` are whole signatures, ``own`` the
+    sorted labels of the bucket's tree."""
     n, width = labels.shape
     if n == 2:
-        return [(0, 1)] if (labels[0] == labels[1]).sum() >= cut * width else []
-    cluster, edges = np.arange(n), []
+        return np.zeros(2, int) if (labels[0] == labels[1]).sum() >= cut * width else np.arange(2)
+    cluster = np.arange(n)
     for depth in range(DEPTH, shortest - 1, -1):
         starts = np.concatenate(([0], np.flatnonzero((own[1:, :depth] != own[:-1, :depth]).any(axis=1)) + 1, [n]))
         for a, b in zip(starts[:-1], starts[1:], strict=True):
@@ -95,11 +106,11 @@ def _walk(labels: np.ndarray, own: np.ndarray, shortest: int, cut: float) -> lis
             for k in range(width):
                 alike += part[:, k, None] == part[None, :, k]
             near = (alike >= cut * width) | (cluster[a:b, None] == cluster[None, a:b])
-            for x, y in _joined(near)[0]:
-                if cluster[a + x] != cluster[a + y]:
-                    edges.append((a + x, a + y))
-                    cluster[cluster == cluster[a + y]] = cluster[a + x]
-    return edges
+            found = _clusters(near)
+            for root in np.unique(found):
+                inside = np.unique(cluster[a:b][found == root])
+                cluster[np.isin(cluster, inside)] = inside[0]
+    return cluster
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -185,7 +196,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
 
 
 def _candidates(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
-    """Edges (a, b) that span the groups of classes which the forest finds alike."""
+    """Stars (a, b) over the classes which the forest finds alike."""
     depth, step = prefix_length(threshold, recall), 2 * DEPTH
     width = TREES * DEPTH
     cut = threshold - SLACK * (threshold * (1 - threshold) / width) ** 0.5
@@ -203,19 +214,18 @@ def _candidates(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
         for group in sorted_groups(batches, 3):
             if group.num_rows < 2:
                 continue
-            rid = group["rid"].to_pylist()
+            rid = group["rid"].to_numpy()
             labels = np.frombuffer(b"".join(group["label"].to_pylist()), ">u2").reshape(len(rid), width)
             tree = group["tree"][0].as_py()
-            edges = _walk(labels, labels[:, tree * DEPTH : (tree + 1) * DEPTH], depth, cut)
-            if edges:
-                yield pa.RecordBatch.from_arrays([pa.array([rid[a] for a, _ in edges], pa.int64()),
-                                                  pa.array([rid[b] for _, b in edges], pa.int64())], names=["a", "b"])
+            a, b = _stars(_walk(labels, labels[:, tree * DEPTH : (tree + 1) * DEPTH], depth, cut), rid)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return map_batches(dealt, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]), fn)
 
 
 def _verified(found: DataFrame, sets: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
-    """Spanning links (a, b) and, with null ``b``, the copies linked to ``a``, tile by tile."""
+    """Stars (a, b) over linked texts and, with null ``b``, the copies linked to ``a``, tile by tile."""
     sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     wanted = (found.withColumnRenamed("node", "rid").join(sizes, "component").join(sets.select("rid", "copies", "first"), "rid")
               .select("rid", "component", "size", "copies", F.col("first.doc_id").alias("i"), F.col("first.text_key").alias("k")))
@@ -238,14 +248,15 @@ def _verified(found: DataFrame, sets: DataFrame, rows: DataFrame, threshold: flo
             np.fill_diagonal(linked, False)
             if group["lo"][0].as_py() != group["hi"][0].as_py():
                 linked &= own[:, None] != own[None, :]
-            edges = _joined(linked)[0]
+            roots, others = _stars(_clusters(linked), rid)
             counts = linked @ copies
             at = np.flatnonzero(counts)
             if len(at):
-                a = np.concatenate((rid[[x for x, _ in edges]], rid[at]))
-                b = pa.array([*(int(rid[y]) for _, y in edges), *[None] * len(at)], pa.int64())
-                links = pa.array([*[None] * len(edges), *map(int, counts[at])], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), b, links], names=["a", "b", "links"])
+                empty = [None]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate((roots, rid[at])), pa.int64()),
+                    pa.array([*others.tolist(), *empty * len(at)], pa.int64()),
+                    pa.array([*empty * len(roots), *counts[at].astype(int).tolist()], pa.int64())], names=["a", "b", "links"])
 
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("a", "b", "links")])
     return map_batches(dealt, schema, fn)
