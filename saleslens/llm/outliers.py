@@ -34,7 +34,7 @@ FLOORS = (0.06, 0.15, 0.30, 0.25, 0.50)
 LEAST_ROWS = 40
 SUPPORT = 0.5
 STEPS = 6
-QUANTILE = 1 - 1e-12
+QUANTILE = 1 - 1e-6
 BINS_PER_OCTAVE = 16
 #: A group's rows meet its model in so many parts.
 PARTS = 32
@@ -236,7 +236,9 @@ def _step(rows: DataFrame, model: DataFrame, support: float) -> DataFrame:
 
 
 def _best(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """Of each group the start of least determinant, scaled so that its middle distance is right."""
+    """Of each group the start of least determinant, scaled so that its middle distance is not above
+    that of a chi-square variable: the scatter of the nearest half is too small. It is not scaled
+    the other way, which in a group without any scatter would blow up small differences."""
     best = model.groupBy("g").agg(F.min(F.struct("logdet", "s", "c", "w")).alias("m")).select("g", "m.s", "m.c", "m.w", "m.logdet")
     best = staged(best, "outliers-best")
     bins = _with(rows, best).groupBy("g", _bin(_distance(rows)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
@@ -247,7 +249,7 @@ def _best(rows: DataFrame, model: DataFrame) -> DataFrame:
         counts = table["n"].to_numpy()
         at = int(np.searchsorted(np.cumsum(counts), math.ceil(SUPPORT * counts.sum())))
         middle = 2.0 ** ((table["b"][at].as_py() + 1) / BINS_PER_OCTAVE)
-        return pa.table({"g": [table["g"][0].as_py()], "scale": [target / max(middle, 1e-9)]})
+        return pa.table({"g": [table["g"][0].as_py()], "scale": [min(1.0, target / max(middle, 1e-9))]})
 
     schema = T.StructType([T.StructField("g", T.StringType()), T.StructField("scale", T.DoubleType())])
     return best.join(bins.groupBy("g").applyInArrow(fn, schema), "g")
