@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from saleslens.llm.common import col, staged
@@ -102,6 +102,12 @@ class Model(NamedTuple):
 # text as columns
 
 
+def _rows(spark: SparkSession, names: str, rows) -> DataFrame:
+    """A few fixed rows, as literals of the plan."""
+    cells = (F.struct(*(F.lit(v).alias(n) for n, v in zip(names.split(), row, strict=True))) for row in rows)
+    return spark.range(1).select(F.inline(F.array(*cells)))
+
+
 def has_cue(text: Column) -> Column:
     lowered, out = F.lower(text), F.lit(False)
     for cue in CUES:
@@ -140,9 +146,9 @@ def _examples(docs: DataFrame, text: str) -> DataFrame:
                  .groupBy("t").agg(F.count(F.lit(1)).alias("n")).where("n = 1").where(~has_cue(F.col("t")))
                  .orderBy(F.xxhash64("t"), "t").limit(MAX_NEGATIVES).select("t"))
     negatives = staged(negatives, "licences-negatives")
-    alike = spark.createDataFrame([(t,) for t in SOUNDS_ALIKE], "t string")
+    alike = _rows(spark, "t", ((t,) for t in SOUNDS_ALIKE))
     unknown = negatives.unionByName(alike).select(F.lit(len(CLASSES) - 1).alias("label"), "t")
-    templates = spark.createDataFrame([(FAMILIES.index(f), t) for f, t in TEMPLATES], "label int, t string")
+    templates = _rows(spark, "label t", ((FAMILIES.index(f), t) for f, t in TEMPLATES))
     parts = _bagged(templates, "t").select("label", "own", F.expr("size(own)").alias("n"))
     # whole; the first and last two thirds; and amid words of the corpus
     cuts = parts.select("label", F.explode(F.expr(
@@ -150,7 +156,7 @@ def _examples(docs: DataFrame, text: str) -> DataFrame:
     whole = cuts.select("label", F.array_join("own", " ").alias("t"))
     lone = negatives.orderBy(F.xxhash64("t", F.lit(1))).limit(200).select(
         F.pmod(F.xxhash64("t", F.lit(2)), F.lit(len(TEMPLATES))).alias("k"), F.substring("t", 1, 200).alias("around"))
-    numbered = spark.createDataFrame([(k, FAMILIES.index(f), t) for k, (f, t) in enumerate(TEMPLATES)], "k long, label int, t string")
+    numbered = _rows(spark, "k label t", ((k, FAMILIES.index(f), t) for k, (f, t) in enumerate(TEMPLATES)))
     amid = numbered.join(lone, "k").select("label", F.concat_ws(" ", "around", "t").alias("t"))
     rows = whole.unionByName(amid).unionByName(unknown).distinct()
     bagged = _bagged(rows, "t").where("size(own) > 0")
@@ -236,7 +242,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Mod
     family = F.array_max(F.slice("p", 1, n - 1))
     chance = chance.select("id", family.alias("probability"), F.array_position("p", family).cast("int").alias("k"),
                            (F.element_at("p", n) < family).alias("ahead"))
-    templates = _bagged(docs.sparkSession.createDataFrame([(FAMILIES.index(f) + 1, t) for f, t in TEMPLATES], "k int, t string"), "t")
+    templates = _bagged(_rows(docs.sparkSession, "k t", ((FAMILIES.index(f) + 1, t) for f, t in TEMPLATES)), "t")
     templates = templates.select("k", F.col("grams").alias("wanted"))
     compared = found.select("id", "grams").join(chance, "id").join(templates, "k").groupBy("id", "probability", "k", "ahead").agg(
         F.max(F.size(F.array_intersect("grams", "wanted")) / F.size("wanted")).alias("coverage"))

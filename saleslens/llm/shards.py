@@ -95,14 +95,14 @@ def place(docs: DataFrame, shards: list[Shard], grown: list[Shard] | None = None
     """One row per document: id, size, crc, law, shard, slot and, with a grown tree, its shard there.
 
     The law is ``key``: id and tree decide the shard. Size is the text's UTF-8 bytes (null: none)
-    plus 16. Slots run from 0 without gaps in each shard. Null ids are one key; null text has a null
-    crc; repeated rows get slots of their own; no documents give no rows.
+    plus 16. Slots run from 0 without gaps in each shard. Null ids are one key; null text counts
+    as empty; repeated rows get slots of their own; no documents give no rows.
     """
     key = col(doc_id).cast("string")
     light = docs.select(
         col(doc_id).alias("doc_id"),
         (F.coalesce(F.octet_length(col(text)), F.lit(0)) + 16).cast("long").alias("size"),
-        F.crc32(col(text).cast("binary")).alias("text_crc32"),
+        F.crc32(F.coalesce(col(text), F.lit("")).cast("binary")).alias("text_crc32"),
         F.lit("key").alias("law"),
         shard_of(key, shards).alias("shard"),
         (shard_of(key, grown) if grown else F.lit(None).cast(T.IntegerType())).alias("grown_shard"),
