@@ -98,4 +98,4 @@ def test_integrity_aggregates_by_hash(spark, sf_dir):
 def test_updates_read_touched_partitions_only(spark, stored):
     detail = warehouse.of_keys(stored.detail, [(1997, "Brand#11"), (1998, "Brand#12")])
     partition = plan_of(detail).split("PartitionFilters: [")[1].split("]")[0]
-    assert "1997" in partition and "Brand#12" in partition
+    assert all(key in partition for key in ("1997", "Brand#11", "1998"))
