@@ -142,9 +142,10 @@ def _bagged(rows: DataFrame, text: str) -> DataFrame:
 def _examples(docs: DataFrame, text: str) -> DataFrame:
     """``label`` (place in CLASSES), ``held`` and ``bag`` of all examples."""
     spark = docs.sparkSession
-    negatives = (docs.select(F.explode(F.split(col(text), "\n")).alias("t")).where(F.length("t") > 20)
-                 .groupBy("t").agg(F.count(F.lit(1)).alias("n")).where("n = 1").where(~has_cue(F.col("t")))
-                 .orderBy(F.xxhash64("t"), "t").limit(MAX_NEGATIVES).select("t"))
+    lines = docs.select(F.explode(F.split(col(text), "\n")).alias("t")).where((F.length("t") > 20) & ~has_cue(F.col("t")))
+    # the least hashes are found first, so that only numbers are shuffled, a common line once a task
+    least = lines.select(F.xxhash64("t").alias("h")).distinct().orderBy("h").limit(MAX_NEGATIVES)
+    negatives = lines.withColumn("h", F.xxhash64("t")).join(F.broadcast(least), "h", "left_semi").select("t").distinct()
     negatives = staged(negatives, "licences-negatives")
     alike = _rows(spark, "t", ((t,) for t in SOUNDS_ALIKE))
     unknown = negatives.unionByName(alike).select(F.lit(len(CLASSES) - 1).alias("label"), "t")
