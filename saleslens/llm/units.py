@@ -96,6 +96,8 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", unit: str
     units = staged(map_batches(light, schema, list_units), "units")
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     shared = units.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first")).where("n > 1")
+    # written, so that the join below has shuffles of its own, in which a common unit is split
+    shared = staged(shared.select("digest", "first"), "units-shared")
     gone = (units.join(shared, "digest").where(F.col("row") != F.col("first.row"))
             .groupBy("row").agg(F.collect_set(F.struct("place", F.col("first.doc_id").alias("keeper"))).alias("gone")))
     key, found = fresh([*docs.columns, *names.values()], "row_key", "gone")
