@@ -24,8 +24,8 @@ from saleslens.llm.common import col, staged
 
 UNKNOWN = "unknown"
 BUCKETS = 1 << 14
-ROUNDS = 24
-RATE, DECAY = 4.0, 1e-4
+ROUNDS = 10
+RATE, DECAY = 10.0, 1e-4
 #: Corpus paragraphs that teach ``unknown``, at most.
 MAX_NEGATIVES = 600
 #: Share of held-out ``unknown`` examples that may pass as a family.
@@ -178,14 +178,18 @@ def _softmax(z: str, heat: float = 1.0) -> Column:
 
 
 def train(docs: DataFrame, text: str = "text") -> Model:
-    """The classifier; its examples are bounded by the templates and ``MAX_NEGATIVES``."""
-    examples = _examples(docs, text)
+    """The classifier; its examples are bounded by the templates and ``MAX_NEGATIVES``.
+
+    A round is a handful of joins and sums over these few rows. Each input is one partition, so a
+    round is one stage without a shuffle.
+    """
+    examples = _examples(docs, text).coalesce(1)
     n = len(CLASSES)
     taught = examples.where("not held")
-    flat = staged(taught.select("ex", "label", F.explode("bag").alias("bucket")), "licences-features")
+    flat = staged(taught.select("ex", "label", F.explode("bag").alias("bucket")), "licences-features").coalesce(1)
     sizes = taught.groupBy("label").agg(F.count(F.lit(1)).alias("n_label"))
     per = taught.join(sizes, "label").select("ex", "label", (1 / (F.col("n_label") * n)).alias("share"))
-    per = staged(per, "licences-shares")
+    per = staged(per, "licences-shares").coalesce(1)
     weights = flat.select("bucket").distinct().select("bucket", *(F.lit(0.0).alias(f"{c}{k}") for c in "wm" for k in range(n)))
     for _ in range(ROUNDS):
         chance = _scores(taught.select("ex", "bag"), weights, "ex").select("ex", _softmax("z").alias("p"))
@@ -195,7 +199,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
         # a step with momentum
         moved = weights.join(slope, "bucket").select("bucket", *(f"w{k}" for k in range(n)), *(
             (0.8 * F.col(f"m{k}") - RATE * (F.col(f"d{k}") + DECAY * F.col(f"w{k}"))).alias(f"m{k}") for k in range(n)))
-        weights = staged(moved.select("bucket", *((F.col(f"w{k}") + F.col(f"m{k}")).alias(f"w{k}") for k in range(n)), *(f"m{k}" for k in range(n))), "licences-weights")
+        weights = staged(moved.select("bucket", *((F.col(f"w{k}") + F.col(f"m{k}")).alias(f"w{k}") for k in range(n)), *(f"m{k}" for k in range(n))), "licences-weights").coalesce(1)
     weights = weights.select("bucket", *(f"w{k}" for k in range(n)))
     held = examples.where("held")
     judged = staged(held.select("ex", "label").join(_scores(held.select("ex", "bag"), weights, "ex"), "ex"), "licences-held")
