@@ -23,18 +23,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from saleslens.llm.common import col, map_rows, staged
+from saleslens.llm.common import add_fields, appended, col, map_rows, staged
 from saleslens.session import ship
 
 FEATURES = ("word_length", "signs", "dup_lines", "repeats", "length")
-#: Scatter below this in a statistic counts as this: a statistic that is the same for most
-#: documents of a group has no scatter of its own.
-FLOORS = (0.06, 0.15, 0.30, 0.25, 0.50)
+#: Scatter below this in a statistic counts as this, about its measurement error in one document: a
+#: statistic that is the same for most documents of a group has no scatter of its own.
+FLOORS = (0.03, 0.15, 0.10, 0.12, 0.10)
+#: Scatter below this (as a variance) is none: such directions do not count in the consistency factor.
+NO_SCATTER = 1e-6
+#: Lines added to a document's own where the share of repeated ones is taken: one of three is chance.
+LINE_PAD = 10
 #: A group with fewer documents joins the others like it of its language, and those the rest.
 LEAST_ROWS = 40
 SUPPORT = 0.5
 STEPS = 6
-QUANTILE = 1 - 1e-6
+QUANTILE = 0.999
 BINS_PER_OCTAVE = 16
 #: A group's rows meet its model in so many parts.
 PARTS = 32
@@ -117,28 +121,38 @@ def chi2_quantile(share: float, df: int) -> float:
 
 
 def _scatter(n: float, sums: np.ndarray, products: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Centre and covariance, not below the floors."""
+    """Centre and covariance."""
     centre = sums / n
     cov = np.zeros((_P, _P))
     for (i, j), total in zip(_PAIRS, products, strict=True):
         cov[i, j] = cov[j, i] = total / n - centre[i] * centre[j]
-    return centre, cov + np.diag(np.square(FLOORS))
+    return centre, cov
 
 
-def _row(group: str, start: int, centre: np.ndarray, cov: np.ndarray, scale: float) -> dict:
-    """A group's centre with the matrix that whitens deviations from it."""
-    values, vectors = np.linalg.eigh(cov)
+def _guarded(cov: np.ndarray) -> np.ndarray:
+    """A covariance with no variance below the square of its floor; larger ones stay as they are."""
+    return cov + np.diag(np.maximum(0.0, np.square(FLOORS) - np.diag(cov)))
+
+
+def _whiten(cov: np.ndarray) -> tuple[np.ndarray, float]:
+    """The matrix that whitens deviations under the guarded ``cov``, and its log determinant."""
+    values, vectors = np.linalg.eigh(_guarded(cov))
     values = np.maximum(values, min(FLOORS) ** 2)
-    white = (vectors / np.sqrt(values)).T
-    return {"g": group, "s": start, "c": centre.tolist(), "w": white.ravel().tolist(), "logdet": float(np.log(values).sum()), "scale": scale}
+    return (vectors / np.sqrt(values)).T, float(np.log(values).sum())
+
+
+def _row(group: str, start: int, centre: np.ndarray, cov: np.ndarray) -> dict:
+    """A group's centre, covariance, and the matrix that whitens deviations from the centre."""
+    white, logdet = _whiten(cov)
+    return {"g": group, "s": start, "c": centre.tolist(), "w": white.ravel().tolist(), "logdet": logdet, "cov": cov.ravel().tolist()}
 
 
 _MODEL = T.StructType([
     T.StructField("g", T.StringType()), T.StructField("s", T.IntegerType()), T.StructField("c", T.ArrayType(T.DoubleType())),
-    T.StructField("w", T.ArrayType(T.DoubleType())), T.StructField("logdet", T.DoubleType()), T.StructField("scale", T.DoubleType()),
+    T.StructField("w", T.ArrayType(T.DoubleType())), T.StructField("logdet", T.DoubleType()), T.StructField("cov", T.ArrayType(T.DoubleType())),
 ])
 _ARROW = pa.schema([("g", pa.string()), ("s", pa.int32()), ("c", pa.list_(pa.float64())), ("w", pa.list_(pa.float64())),
-                    ("logdet", pa.float64()), ("scale", pa.float64())])
+                    ("logdet", pa.float64()), ("cov", pa.list_(pa.float64()))])
 
 
 # ---------------------------------------------------------------------------------------------
@@ -208,9 +222,9 @@ def _starts(rows: DataFrame) -> DataFrame:
             for (i, j), total in zip(_PAIRS, products[k], strict=True):
                 cov[i, j] = cov[j, i] = total / n - mean[i] * mean[j]
             size = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-            out.append(_row(group, start, centre, cov / np.outer(size, size) * np.outer(scale, scale) + 1e-6 * np.diag(scale**2), 1.0))
+            out.append(_row(group, start, centre, cov / np.outer(size, size) * np.outer(scale, scale) + 1e-6 * np.diag(scale**2)))
             if start == 0:
-                out.append(_row(group, 2, centre, np.diag(scale**2), 1.0))
+                out.append(_row(group, 2, centre, np.diag(scale**2)))
         return pa.RecordBatch.from_pylist(out, schema=_ARROW)
 
     return map_rows(both, _MODEL, fn)
@@ -229,34 +243,54 @@ def _step(rows: DataFrame, model: DataFrame, support: float) -> DataFrame:
         part = slice(0, last + 1)
         sums, products = _sums(table)
         centre, cov = _scatter(counts[part].sum(), sums[part].sum(0), products[part].sum(0))
-        return pa.Table.from_pylist([_row(table["g"][0].as_py(), table["s"][0].as_py(), centre, cov, 1.0)], schema=_ARROW)
+        return pa.Table.from_pylist([_row(table["g"][0].as_py(), table["s"][0].as_py(), centre, cov)], schema=_ARROW)
 
     ship(rows.sparkSession)
     return sums.groupBy("g", "s").applyInArrow(fn, _MODEL)
 
 
 def _best(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """Of each group the start of least determinant, scaled so that its middle distance is not above
-    that of a chi-square variable: the scatter of the nearest half is too small. It is not scaled
-    the other way, which in a group without any scatter would blow up small differences."""
-    best = model.groupBy("g").agg(F.min(F.struct("logdet", "s", "c", "w")).alias("m")).select("g", "m.s", "m.c", "m.w", "m.logdet")
-    best = staged(best, "outliers-best")
-    bins = _with(rows, best).groupBy("g", _bin(_distance(rows)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    target = chi2_quantile(SUPPORT, _P)
-
-    def fn(table: pa.Table) -> pa.Table:
+    """Of each group the start of least determinant, its covariance made consistent: the middle
+    distance becomes that of a chi-square variable. It is taken over the directions in which the
+    nearest half has scatter, with as many degrees of freedom, and before the floors, so that
+    neither a group without scatter nor a floor moves the factor."""
+    best = model.groupBy("g").agg(F.min(F.struct("logdet", "s", "c", "cov")).alias("m")).select("g", "m.c", "m.cov")
+
+    def bare(batch: pa.RecordBatch) -> pa.RecordBatch:
+        whites, sizes = [], []
+        for cov in batch.column(2).to_pylist():
+            values, vectors = np.linalg.eigh(np.reshape(cov, (_P, _P)))
+            has = values > NO_SCATTER
+            whites.append((vectors * np.where(has, 1 / np.sqrt(np.maximum(values, NO_SCATTER)), 0.0)).T.ravel().tolist())
+            sizes.append(int(has.sum()))
+        return appended(batch, ("w", pa.array(whites, pa.list_(pa.float64()))), ("df", pa.array(sizes, pa.int32())))
+
+    many = T.ArrayType(T.DoubleType())
+    best = staged(map_rows(best, add_fields(best.schema, ("w", many), ("df", T.IntegerType())), bare), "outliers-best")
+    bins = _with(rows, best.select("g", "c", "w")).groupBy("g", _bin(_distance(rows)).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    targets = [1.0, *(chi2_quantile(SUPPORT, df) for df in range(1, _P + 1))]
+
+    def middle(table: pa.Table) -> pa.Table:
         table = table.sort_by("b")
         counts = table["n"].to_numpy()
         at = int(np.searchsorted(np.cumsum(counts), math.ceil(SUPPORT * counts.sum())))
-        middle = 2.0 ** ((table["b"][at].as_py() + 1) / BINS_PER_OCTAVE)
-        return pa.table({"g": [table["g"][0].as_py()], "scale": [min(1.0, target / max(middle, 1e-9))]})
+        return pa.table({"g": [table["g"][0].as_py()], "middle": [2.0 ** ((table["b"][at].as_py() + 0.5) / BINS_PER_OCTAVE)]})
+
+    schema = T.StructType([T.StructField("g", T.StringType()), T.StructField("middle", T.DoubleType())])
+    found = best.join(bins.groupBy("g").applyInArrow(middle, schema), "g").select("g", "c", "cov", "df", "middle")
+
+    def consistent(batch: pa.RecordBatch) -> pa.RecordBatch:
+        whites = []
+        for cov, df, middle in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
+            factor = middle / targets[df] if df else 1.0
+            whites.append(_whiten(factor * np.reshape(cov, (_P, _P)))[0].ravel().tolist())
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(whites, pa.list_(pa.float64()))], names=["g", "c", "w"])
 
-    schema = T.StructType([T.StructField("g", T.StringType()), T.StructField("scale", T.DoubleType())])
-    return best.join(bins.groupBy("g").applyInArrow(fn, schema), "g")
+    return map_rows(found, T.StructType([T.StructField("g", T.StringType()), T.StructField("c", many), T.StructField("w", many)]), consistent)
 
 
 def estimate(rows: DataFrame, support: float = SUPPORT, steps: int = STEPS) -> DataFrame:
-    """Centre ``c``, whitening ``w`` and distance ``scale`` of each group ``g`` of vectors ``x``."""
+    """Centre ``c`` and whitening ``w`` of each group ``g`` of vectors ``x``."""
     model = staged(_starts(rows), "outliers-starts")
     for k in range(steps):
         model = staged(_step(rows, model, support), f"outliers-step{k}")
@@ -305,7 +339,7 @@ def outliers(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     x = F.when(~F.col("base_failed"), F.array(
         F.log(F.greatest(share("word_chars", "n_words"), F.lit(0.5))),
         F.log1p(100 * share("n_symbols", "word_chars")) / 2,
-        F.sqrt(share("n_dup_lines", "n_lines")),
+        F.sqrt(F.col("n_dup_lines") / (F.col("n_lines") + LINE_PAD)),
         F.asin(F.sqrt(share("n_repeat_words", "n_words"))),
         F.log(F.greatest(F.col("n_words"), F.lit(1)).cast("double")) / 2,
     ))
@@ -314,8 +348,8 @@ def outliers(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     grouped = _parted(grouped, "doc_id", "n_words", "word_chars")
     model = estimate(grouped.where("g is not null").select("g", "x", "part"))
     cutoff = chi2_quantile(quantile, _P)
-    parts = model.select("g", "c", "w", "scale", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
-    far = grouped.join(parts, ["g", "part"], "left").withColumn("distance", F.sqrt(_distance(grouped) * F.col("scale")))
+    parts = model.select("g", "c", "w", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    far = grouped.join(parts, ["g", "part"], "left").withColumn("distance", F.sqrt(_distance(grouped)))
     out = ["doc_id", *names[:-1], "base_failed"]
     near = far.select(*out, F.coalesce(F.col("distance") <= math.sqrt(cutoff), F.lit(True)).alias("kept"), "distance")
     failed = counted.where("base_failed").select(*out, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance"))

@@ -207,6 +207,22 @@ def test_outliers_are_found_per_group(spark):
     assert all(got[2000 + i].kept for i in range(60)) and not any(r.base_failed for r in got.values())
 
 
+def test_outliers_in_repeats_alone(spark):
+    def page(seed, n=100, extra=""):
+        words = prose(seed, n).split()
+        return "".join(" ".join(words[k : k + 5]) + "\n" + extra for k in range(0, n, 5))
+
+    rows = [(i, page(i, 80 + i % 8 * 5), "en", "a", 0) for i in range(150)]
+    rows += [(1000 + i, page(1000 + i, 100, "iskalu\n"), "en", "a", 0) for i in range(10)]
+    rows += [(2000 + i, page(2000 + i, 60) + " ".join(prose(i, 20).split() * 2), "en", "a", 0) for i in range(10)]
+    got = {r.doc_id: r for r in outliers.outliers(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n long")).collect()}
+    assert all(got[1000 + i].n_dup_lines == 19 and got[1000 + i].n_repeat_words < 12 for i in range(10))
+    assert all(got[2000 + i].n_dup_lines == 0 and 40 <= got[2000 + i].n_repeat_words <= 50 for i in range(10))
+    assert not any(r.base_failed for r in got.values())
+    assert not any(got[k + i].kept for k in (1000, 2000) for i in range(10))
+    assert np.mean([got[i].kept for i in range(150)]) > 0.97
+
+
 def test_outliers_of_odd_rows(spark):
     got = outliers.outliers(odd_docs(spark)).collect()
     assert len(got) == 14
