@@ -1,7 +1,7 @@
 """Substring dedup by hashing lines or paragraphs.
 
-A unit is a line, or a paragraph between blank lines. Units are normalised to lower-case words and
-hashed; of the units with one hash over all documents the earliest ranked occurrence stays, by
+A unit is a line, or a paragraph between blank lines. Units are normalised to lower-case words, parted
+at Unicode blanks and punctuation too, and hashed; of the units with one hash over all documents the earliest ranked occurrence stays, by
 document id and place, and the others are cut out. What is cut is returned with its place in the
 original text and the document that keeps it.
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,6 +24,13 @@ from saleslens.llm.common import add_fields, appended, col, fresh, map_batches,
 
 #: Units of fewer words are left alone: they meet by chance.
 LEAST_WORDS = 5
+# Scripts written without blanks, and how many of their characters count as a word.
+_UNSPACED = (
+    (re.compile("[\u3005-\u3007\u3041-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]"), 2),
+    (re.compile("[\u0e01-\u0e3a\u0e40-\u0e4e\u0e81-\u0ece\u0edc-\u0edf\u0f40-\u0fbc\u1000-\u109f\u1780-\u17d3\u1950-\u19df\u1a20-\u1aad]"), 4),
+)
+# Blanks and punctuation beyond ASCII; none are known above these planes.
+_APART = {c: " " for c in range(128, 0x20000) if c == 0x85 or unicodedata.category(chr(c))[0] in "PZ"}
 _BREAKS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n(?:[ \t\r]*\n)+")}
 
 
@@ -36,9 +44,14 @@ def split(text: str, unit: str = "line") -> list[tuple[int, int]]:
 
 
 def digest(unit: str, least_words: int = LEAST_WORDS) -> bytes | None:
-    """The hash of a unit's words; None if they are too few to count."""
-    words = words_of(unit.encode())
-    return hashlib.md5(b" ".join(words)).digest() if len(words) >= max(1, least_words) else None
+    """The hash of a unit's words; None if they are too few to count. In scripts without blanks some
+    characters count as a word."""
+    plain = unit.isascii()
+    words = words_of((unit if plain else unit.translate(_APART)).encode())
+    size = len(words)
+    if words and not plain and size < least_words:
+        size = max(size, sum(len(script.findall(unit)) / n for script, n in _UNSPACED))
+    return hashlib.md5(b" ".join(words)).digest() if size >= max(1, least_words) else None
 
 
 def cut(text: str, places: list[tuple[int, int]], gone: set[int]) -> str:

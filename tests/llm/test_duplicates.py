@@ -136,6 +136,19 @@ def test_line_dedup_of_odd_rows(spark):
     assert units.dedup(no_docs(spark))[0].count() == 0
 
 
+def test_repeated_lines_of_scripts_without_blanks(spark):
+    repeated = ["本网站的所有内容均受版权保护，未经许可不得转载。", "このサイトの内容を無断で転載することを禁じます。", "ห้ามทำซ้ำหรือเผยแพร่เนื้อหาของเว็บไซต์นี้โดยไม่ได้รับอนุญาต",
+                "один\u3000два\u2014три\u2003четыре\u2026пять"]
+    short = ["你好", "目录", "สวัสดี"]
+    texts = ["\n".join([f"第{i}篇", *repeated, *short]) for i in range(3)]
+    rows, _ = units.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {r.doc_id: r for r in rows.collect()}
+    assert got[0].text == texts[0]
+    for i in (1, 2):
+        assert got[i].text == "\n".join([f"第{i}篇", *short]) and [r.keeper for r in got[i].removed] == [0] * 4
+    assert units.digest("未经许可，不得转载本站的内容。") == units.digest("未经许可 不得转载本站的内容")
+
+
 def test_paragraphs(spark):
     a, b = prose(1, 10), prose(2, 10)
     docs = spark.createDataFrame([(1, f"{a}\n{b}\n\n{b}"), (2, f"{b}\n \n{a}\n{b}\n\nend")], "doc_id long, text string")
