@@ -24,8 +24,8 @@ from saleslens.llm.common import col, staged
 
 UNKNOWN = "unknown"
 BUCKETS = 1 << 14
-ROUNDS = 10
-RATE, DECAY = 10.0, 1e-4
+ROUNDS = 24
+RATE, DECAY = 4.0, 1e-4
 #: Corpus paragraphs that teach ``unknown``, at most.
 MAX_NEGATIVES = 600
 #: Share of held-out ``unknown`` examples that may pass as a family.
