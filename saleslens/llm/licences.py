@@ -8,13 +8,14 @@ licence. A held-out part of the examples sets the temperature of the probabiliti
 a family must be, so that ``unknown`` is seldom taken for one. A prediction counts once one of the
 family's templates confirms it: the paragraph has most of the template's two-grams.
 
-A confirmation needs one of the ``CUES``, which every template has. Paragraphs without one are
-``unknown`` whatever the classifier says, so texts are first looked through for cues; the test that
-turns this off finds the same.
+Texts are first looked through for ``HINTS``: of every template so many two-grams hold one of these
+words that a paragraph with none of them cannot be confirmed. What has no hint and none of the ``CUES``
+is not scored; the test that turns this off finds the same.
 """
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -88,6 +89,23 @@ SOUNDS_ALIKE = (
 # Every template has one of these.
 CUES = ("licens", "licenc", "copyright", "permission", "redistribut", "public domain", "all rights reserved")
 
+# Words that are chosen as hints last.
+_COMMON = frozenset("a and any by for from in is it may not of or that the this to under use with without you".split())
+
+
+def _hints() -> tuple[str, ...]:
+    """Words, long ones first, until of each template the two-grams without any are too few to confirm."""
+    chosen: set[str] = set()
+    for _, template in TEMPLATES:
+        own = [w for w in re.split(r"[^a-z0-9]+", template.lower()) if w]
+        grams = set(zip(own, own[1:], strict=False))
+        left = sorted(set(own), key=lambda w: (w in _COMMON, -len(w), w))
+        while sum(not chosen & set(g) for g in grams) >= COVERAGE * len(grams):
+            chosen.add(left.pop(0))
+    return tuple(sorted(chosen))
+
+
+HINTS = _hints()
 FAMILIES = tuple(dict.fromkeys(f for f, _ in TEMPLATES))
 CLASSES = (*FAMILIES, UNKNOWN)
 
@@ -115,6 +133,18 @@ def has_cue(text: Column) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def may_hold(text: Column) -> Column:
+    """Whether a text has a cue or a hint; a hint may stand inside a longer word if it is long."""
+    lowered, out = F.lower(text), has_cue(text)
+    for hint in HINTS:
+        if len(hint) > 4:
+            out = out | F.contains(lowered, F.lit(hint))
+    short = "|".join(h for h in HINTS if len(h) <= 4)
+    if short:
+        out = out | F.rlike(lowered, F.lit(f"(?<![a-z0-9])(?:{short})(?![a-z0-9])"))
+    return F.coalesce(out, F.lit(False))
+
+
 def words(text: Column) -> Column:
     """Lower-case words of letters and digits."""
     return F.filter(F.split(F.lower(text), r"[^a-z0-9\x{80}-\x{10FFFF}]+"), lambda w: w != "")
@@ -217,14 +247,14 @@ def train(docs: DataFrame, text: str = "text") -> Model:
 
 def paragraphs(docs: DataFrame, text: str, gate: bool = True) -> DataFrame:
     """Lines, and paragraphs of several lines, that may hold a licence; with their start."""
-    rows = docs.where(has_cue(col(text))) if gate else docs.where(col(text).isNotNull())
+    rows = docs.where(may_hold(col(text))) if gate else docs.where(col(text).isNotNull())
     def units(pattern: str, kind: str) -> DataFrame:
         listed = rows.withColumn("listed", F.split(col(text), pattern))
         return listed.select("doc_id", "row", F.lit(kind).alias("kind"), F.col("listed"), F.posexplode("listed").alias("place", "part"))
     lines = units("\n", "line")
     blocks = units(r"\n[ \t\r]*\n", "paragraph").where(F.contains("part", F.lit("\n")))
     rows = lines.unionByName(blocks)
-    rows = rows.where(has_cue(F.col("part")) if gate else F.length("part") > 0)
+    rows = rows.where(may_hold(F.col("part")) if gate else F.length("part") > 0)
     return rows.drop("listed")
 
 
@@ -232,13 +262,13 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Mod
     """One row per document: ``families`` (confirmed, sorted), ``findings`` and ``n_unknown``.
 
     A finding is a line or a paragraph of several lines: its kind, place, predicted family,
-    probability, template coverage, and text. ``n_unknown`` counts those with a cue that no family
-    claims or no template confirms. A null or empty text has no findings. Rows that repeat an id and
+    probability, template coverage, and text. ``n_unknown`` counts the lines with a cue, or with most
+    of a template of the predicted family, that no family claims or no template confirms. A null or empty text has no findings. Rows that repeat an id and
     a text get the same result each. No documents give no rows; other columns are not read.
     """
     model = model or train(docs, text)
     rows = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text")).withColumn("row", F.xxhash64("text"))
-    once = rows.where(has_cue(F.col("text")) if gate else F.col("text").isNotNull()).dropDuplicates(["doc_id", "row"])
+    once = rows.where(may_hold(F.col("text")) if gate else F.col("text").isNotNull()).dropDuplicates(["doc_id", "row"])
     found = _bagged(paragraphs(once, "text", gate), "part")
     found = staged(found.withColumn("id", F.monotonically_increasing_id()), "licences-found")
     bags = found.select("id", buckets("own", "grams").alias("bag"))
@@ -252,7 +282,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Mod
     compared = found.select("id", "grams").join(chance, "id").join(templates, "k").groupBy("id", "probability", "k", "ahead").agg(
         F.max(F.size(F.array_intersect("grams", "wanted")) / F.size("wanted")).alias("coverage"))
     names = F.array(*map(F.lit, FAMILIES))
-    confirmed = F.col("ahead") & (F.col("probability") >= model.least) & (F.col("coverage") >= COVERAGE) & has_cue(F.col("part"))
+    confirmed = F.col("ahead") & (F.col("probability") >= model.least) & (F.col("coverage") >= COVERAGE)
     judged = found.select("id", "doc_id", "row", "kind", "place", "part").join(compared, "id").withColumn(
         "family", F.when(confirmed, F.element_at(names, F.col("k"))).otherwise(UNKNOWN))
     finding = F.struct("kind", "place", "family", F.round("probability", 6).alias("probability"), F.round("coverage", 6).alias("coverage"), F.col("part").alias("text"))
@@ -260,7 +290,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Mod
     per = judged.groupBy("doc_id", "row").agg(
         F.array_sort(F.collect_set(F.when(known, F.col("family")))).alias("families"),
         F.array_sort(F.collect_list(F.when(known, finding))).alias("findings"),
-        F.count(F.when(~known & has_cue(F.col("part")) & (F.col("kind") == "line"), 1)).alias("n_unknown"))
+        F.count(F.when(~known & (has_cue(F.col("part")) | (F.col("coverage") >= COVERAGE)) & (F.col("kind") == "line"), 1)).alias("n_unknown"))
     light, per = rows.select("doc_id", "row"), per.withColumnRenamed("doc_id", "i").withColumnRenamed("row", "r")
     joined = light.join(per, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("row") == F.col("r")), "left")
     none = lambda c: F.coalesce(c, F.array().cast(per.schema[c].dataType))

@@ -48,6 +48,23 @@ def test_cues_lose_nothing(spark, model):
     assert all(any(c in t.lower() for c in licences.CUES) for _, t in licences.TEMPLATES)
 
 
+def test_notices_without_cue_words(spark, model):
+    texts = ["This text is available under CC BY-NC 4.0.", "Released under the BSD 3 Clause terms.", "Released under the MIT terms."]
+    assert not any(c in t.lower() for t in texts for c in licences.CUES)
+    texts = [*texts, *(prose(i, 20) for i in range(4)), *licences.SOUNDS_ALIKE[:3]]
+    fast, whole = scan(spark, texts, model), scan(spark, texts, model, gate=False)
+    assert [fast[k].families for k in range(3)] == [["CC-BY-NC"], ["BSD"], ["MIT"]]
+    assert fast == whole
+
+
+def test_hints_follow_from_the_rule():
+    for _, template in licences.TEMPLATES:
+        own = "".join(c if c.isalnum() else " " for c in template.lower()).split()
+        grams = set(zip(own, own[1:], strict=False))
+        without = sum(not set(g) & set(licences.HINTS) for g in grams)
+        assert without < licences.COVERAGE * len(grams)
+
+
 def test_odd_rows(spark, model):
     docs = odd_docs(spark)
     assert licences.scan(docs, model=model).where("size(families) = 0").count() == 14
