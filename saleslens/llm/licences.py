@@ -33,6 +33,9 @@ MAX_NEGATIVES = 600
 FALSE_SHARE = 0.01
 LEAST_PROBABILITY = 0.5
 COVERAGE = 0.6
+#: Windows of so many words, by half their size, are scored beside a whole unit. The longest template
+#: fits the largest in any place, and shorter ones a window with few other words.
+WINDOWS = (12, 24, 48, 80)
 
 # Sentences of public licences, by family.
 TEMPLATES = (
@@ -258,12 +261,27 @@ def paragraphs(docs: DataFrame, text: str, gate: bool = True) -> DataFrame:
     return rows.drop("listed")
 
 
+def windows(found: DataFrame) -> DataFrame:
+    """Units of ``found`` whole and in windows: ``id``, place ``a`` to ``b`` and own words of each."""
+    spans = ["array(struct(0 AS a, n AS b))"]
+    for size in WINDOWS:
+        step = size // 2
+        # the last one ends with the unit
+        spans.append(f"if(n > {size}, transform(sequence(0, cast(ceil((n - {size}) / {step}) as int)), "
+                     f"i -> struct(least(i * {step}, n - {size}) AS a, least(i * {step}, n - {size}) + {size} AS b)), array())")
+    rows = found.select("id", "own", F.size("own").alias("n")).where("n > 0")
+    rows = rows.select("id", "own", F.explode(F.expr(f"concat({', '.join(spans)})")).alias("span"))
+    return rows.select("id", "span.a", "span.b", F.expr("slice(own, span.a + 1, span.b - span.a)").alias("own"))
+
+
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Model | None = None, gate: bool = True) -> DataFrame:
     """One row per document: ``families`` (confirmed, sorted), ``findings`` and ``n_unknown``.
 
     A finding is a line or a paragraph of several lines: its kind, place, predicted family,
     probability, template coverage, and text. ``n_unknown`` counts the lines with a cue, or with most
-    of a template of the predicted family, that no family claims or no template confirms. A null or empty text has no findings. Rows that repeat an id and
+    of a template of the predicted family, that no family claims or no template confirms. Units are also looked at in overlapping windows, so a notice counts
+    wherever it stands in a long one; of windows that overlap, a family gives way to another that covers
+    more of its template. A unit with several families has a finding for each. A null or empty text has no findings. Rows that repeat an id and
     a text get the same result each. No documents give no rows; other columns are not read.
     """
     model = model or train(docs, text)
@@ -271,20 +289,35 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Mod
     once = rows.where(may_hold(F.col("text")) if gate else F.col("text").isNotNull()).dropDuplicates(["doc_id", "row"])
     found = _bagged(paragraphs(once, "text", gate), "part")
     found = staged(found.withColumn("id", F.monotonically_increasing_id()), "licences-found")
-    bags = found.select("id", buckets("own", "grams").alias("bag"))
-    chance = _scores(bags, model.weights, "id").select("id", _softmax("z", model.temperature).alias("p"))
+    wanted = _bagged(_rows(docs.sparkSession, "k t", ((FAMILIES.index(f) + 1, t) for f, t in TEMPLATES)), "t")
+    wanted = wanted.select("k", F.col("grams").alias("wanted"))
+    # a window (not a whole unit, which may count as unknown) without enough two-grams of any template is none
+    known_grams = sorted({" ".join(g) for _, t in TEMPLATES for own in [re.findall(r"[a-z0-9]+", t.lower())] for g in zip(own, own[1:], strict=False)})
+    listed = F.array(*map(F.lit, known_grams))
+    parts = windows(found).withColumn("grams", two_grams("own"))
+    parts = parts.where((F.col("a") == 0) | (F.size(F.array_intersect("grams", listed)) >= 2))
+    parts = staged(parts.withColumn("win", F.monotonically_increasing_id()), "licences-windows")
+    bags = parts.select("win", buckets("own", "grams").alias("bag"))
+    chance = _scores(bags, model.weights, "win").select("win", _softmax("z", model.temperature).alias("p"))
     n = len(CLASSES)
     family = F.array_max(F.slice("p", 1, n - 1))
-    chance = chance.select("id", family.alias("probability"), F.array_position("p", family).cast("int").alias("k"),
+    chance = chance.select("win", family.alias("probability"), F.array_position("p", family).cast("int").alias("k"),
                            (F.element_at("p", n) < family).alias("ahead"))
-    templates = _bagged(_rows(docs.sparkSession, "k t", ((FAMILIES.index(f) + 1, t) for f, t in TEMPLATES)), "t")
-    templates = templates.select("k", F.col("grams").alias("wanted"))
-    compared = found.select("id", "grams").join(chance, "id").join(templates, "k").groupBy("id", "probability", "k", "ahead").agg(
+    compared = parts.select("id", "win", "a", "b", "grams").join(chance, "win").join(wanted, "k").groupBy("id", "win", "a", "b", "probability", "k", "ahead").agg(
         F.max(F.size(F.array_intersect("grams", "wanted")) / F.size("wanted")).alias("coverage"))
     names = F.array(*map(F.lit, FAMILIES))
     confirmed = F.col("ahead") & (F.col("probability") >= model.least) & (F.col("coverage") >= COVERAGE)
-    judged = found.select("id", "doc_id", "row", "kind", "place", "part").join(compared, "id").withColumn(
-        "family", F.when(confirmed, F.element_at(names, F.col("k"))).otherwise(UNKNOWN))
+    compared = compared.withColumn("family", F.when(confirmed, F.element_at(names, F.col("k"))).otherwise(UNKNOWN))
+    # the windows of a unit that count, without those that overlap a better covered one of another family
+    window = F.struct("a", "b", "family", "coverage", "probability")
+    per_unit = compared.groupBy("id").agg(F.max("coverage").alias("most"),
+                                          F.collect_list(F.when(F.col("family") != UNKNOWN, window)).alias("ws"))
+    best = F.expr("""filter(ws, w -> not exists(ws, v -> v.family <> w.family and v.coverage > w.coverage and v.a < w.b and w.a < v.b))""")
+    per_unit = per_unit.select("id", "most", F.explode_outer(best).alias("w"))
+    per_unit = per_unit.groupBy("id", F.coalesce("w.family", F.lit(UNKNOWN)).alias("family")).agg(
+        F.max("most").alias("most"), F.max(F.struct("w.coverage", "w.probability")).alias("w"))
+    per_unit = per_unit.select("id", "family", F.coalesce("w.coverage", "most").alias("coverage"), F.col("w.probability").alias("probability"))
+    judged = found.select("id", "doc_id", "row", "kind", "place", "part").join(per_unit, "id")
     finding = F.struct("kind", "place", "family", F.round("probability", 6).alias("probability"), F.round("coverage", 6).alias("coverage"), F.col("part").alias("text"))
     known = F.col("family") != UNKNOWN
     per = judged.groupBy("doc_id", "row").agg(

@@ -65,6 +65,15 @@ def test_hints_follow_from_the_rule():
         assert without < licences.COVERAGE * len(grams)
 
 
+def test_notices_in_long_lines(spark, model):
+    sizes = (100, 400, 4000)
+    cases = [(f, f"{prose(i, n // 2)} {t} {prose(i + 50, n // 2)}") for i, (f, t) in enumerate(licences.TEMPLATES) for n in sizes]
+    got = scan(spark, [t for _, t in cases], model)
+    assert [got[k].families for k in range(len(cases))] == [[f] for f, _ in cases]
+    both = f"{prose(1, 300)} {licences.TEMPLATES[0][1]} {prose(2, 300)} Licensed under CC BY-NC 4.0. {prose(3, 300)}"
+    assert scan(spark, [both], model)[0].families == ["CC-BY-NC", "MIT"]
+
+
 def test_odd_rows(spark, model):
     docs = odd_docs(spark)
     assert licences.scan(docs, model=model).where("size(families) = 0").count() == 14
