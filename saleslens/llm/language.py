@@ -27,7 +27,6 @@ from saleslens.llm.common import add_fields, appended, col, fresh, map_rows
 DIMS = 1 << 13
 ORDERS = (1, 2, 3, 4)
 MAX_DOCS = 2048
-MAX_LANGUAGES = 256
 ROUNDS = 120
 AMBIGUOUS = 0.2
 
@@ -103,25 +102,25 @@ def _sample(docs: DataFrame, text: str, lang: str, order: Column, learn: Column,
     """Labels, feature rows and label numbers of the bounded sample."""
     (place,) = fresh(docs.columns, "place")
     rows = docs.where(learn & col(lang).isNotNull() & col(text).isNotNull())
-    counts = rows.groupBy(col(lang).alias("l")).count().orderBy(F.desc("count"), "l").limit(MAX_LANGUAGES).collect()
+    counts = rows.groupBy(col(lang).alias("l")).count().orderBy("l").collect()
     if not counts:
         return [], np.zeros((0, DIMS), np.float32), np.zeros(0, np.int64)
     quota = max(8, max_docs // len(counts))
     chance = F.element_at(F.create_map(*(x for r in counts for x in (F.lit(r.l), F.lit(min(1.0, 1.5 * quota / r["count"]))))), col(lang))
     picked = (rows.withColumn(place, order).where(F.pmod(col(place), F.lit(1 << 30)) < chance * (1 << 30))
-              .orderBy(place).limit(2 * max(max_docs, 8 * len(counts))).select(col(lang).alias("l"), col(text).alias("t")))
+              .orderBy(place).limit(2 * max(max_docs, 8 * len(counts))).select(col(lang).alias("l"), col(place).alias("h"), col(text).alias("t")))
 
     def fn(batch: pa.RecordBatch) -> pa.RecordBatch:
-        vectors = [features(v.as_py()).astype(np.float16).tobytes() for v in batch.column(1)]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(vectors, pa.binary())], names=["l", "v"])
+        vectors = [features(v.as_py()).astype(np.float16).tobytes() for v in batch.column(2)]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(vectors, pa.binary())], names=["l", "h", "v"])
 
-    schema = T.StructType([T.StructField("l", T.StringType()), T.StructField("v", T.BinaryType())])
+    schema = T.StructType([T.StructField("l", T.StringType()), T.StructField("h", picked.schema["h"].dataType), T.StructField("v", T.BinaryType())])
     got, taken = [], dict.fromkeys((r.l for r in counts), 0)
     for r in map_rows(picked.repartition(8), schema, fn).collect():
-        got.append((r.l, r.v))
-    got.sort()
+        got.append((r.l, r.h, r.v))
+    got.sort()  # of each language the least hashes stay
     keep = []
-    for label, vector in got:
+    for label, _, vector in got:
         taken[label] += 1
         if taken[label] <= quota:
             keep.append((label, vector))

@@ -245,6 +245,23 @@ def test_language_query_on_held_out_documents(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_language_sample_is_chosen_by_hash(spark):
+    rows = [(f"{prose(1000 * k + i, 1 + i % 40)} {k} {i}", lang) for k, lang in enumerate(("aa", "bb")) for i in range(400)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    labels, x, y = language._sample(docs, "text", "lang", F.xxhash64("text"), F.lit(True), 64)
+    near = docs.withColumn("h", F.xxhash64("text")).where(F.pmod("h", F.lit(1 << 30)) < 1.5 * 32 / 400 * (1 << 30)).orderBy("h").collect()
+    assert labels == ["aa", "bb"]
+    for k, lang in enumerate(labels):
+        texts = [r.text for r in near if r.lang == lang]
+        assert len(texts) > 32 and (y == k).sum() == 32
+        assert np.array_equal(x[y == k], np.stack([language.features(t).astype(np.float16).astype(np.float32) for t in texts[:32]]))
+
+
+def test_all_languages_are_learned(spark):
+    docs = spark.createDataFrame([(prose(i, 5), f"l{i}") for i in range(300)], "text string, lang string")
+    assert len(language._sample(docs, "text", "lang", F.xxhash64("text"), F.lit(True), 64)[0]) == 300
+
+
 def test_codebooks_part_all_languages():
     for n in (2, 3, 5, 6, 9, 40):
         book = language.codebook(n)
