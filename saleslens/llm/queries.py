@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saleslens.llm import bpe, decontaminate, forest, language, licences, ordinal, outliers, shards, units, warc
+from saleslens.llm import bitmaps, bpe, decontaminate, forest, language, licences, ordinal, outliers, shards, units, warc
 from saleslens.session import shared_dir
 
 
@@ -79,6 +79,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"))[0].drop("original_words")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    rows, names = bitmaps.apply(docs, bitmaps.keep_bitmaps(docs))
+    kept = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    return rows.select("doc_id", names["n_lines"], names["n_dropped"], kept.alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mcd_outliers": op1_mcd_outliers,
     "op2_license_scan": op2_license_scan,
@@ -90,4 +97,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_quality": op9_quality,
     "op10_line_dedup": op10_line_dedup,
+    "op11_line_dedup": op11_line_dedup,
 }
