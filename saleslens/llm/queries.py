@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saleslens.llm import bitmaps, bpe, decontaminate, forest, language, licences, ordinal, outliers, shards, units, warc
+from saleslens.llm import bitmaps, bpe, decontaminate, forest, language, licences, ordinal, outliers, resample, shards, units, warc
 from saleslens.session import shared_dir
 
 
@@ -86,6 +86,11 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", names["n_lines"], names["n_dropped"], kept.alias("kept_sha256"))
 
 
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample.resample(docs, _read(spark, sf_dir, "benchmark")).drop("n_words")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mcd_outliers": op1_mcd_outliers,
     "op2_license_scan": op2_license_scan,
@@ -98,4 +103,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_line_dedup": op10_line_dedup,
     "op11_line_dedup": op11_line_dedup,
+    "op12_resample": op12_resample,
 }
