@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from saleslens.llm import bitmaps, bpe, decontaminate, forest, language, licences, ordinal, outliers, resample, shards, units, warc
+from saleslens.llm import bitmaps, bpe, decontaminate, forest, language, licences, ordinal, outliers, resample, shards, spelling, units, warc
 from saleslens.session import shared_dir
 
 
@@ -91,6 +91,10 @@ def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(docs, _read(spark, sf_dir, "benchmark")).drop("n_words")
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mcd_outliers": op1_mcd_outliers,
     "op2_license_scan": op2_license_scan,
@@ -104,4 +108,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
     "op11_line_dedup": op11_line_dedup,
     "op12_resample": op12_resample,
+    "op13_spelling": op13_spelling,
 }
