@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from saleslens.llm.common import add_fields, appended, col, fresh, map_batches, map_rows, staged
+from saleslens.llm.common import add_fields, appended, col, fresh, map_batches, map_rows, row_key, staged
 
 #: Documents that hold a key, from which on its lines go.
 MIN_DOCS = 10
@@ -60,12 +60,6 @@ def unpack(bitmap: bytes, n_lines: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(zlib.decompress(bitmap), np.uint8), count=n_lines).astype(bool)
 
 
-def row_key(doc_id, text):
-    """What makes a document: its id and its text. Rows that repeat both are one."""
-    return F.unhex(F.md5(F.concat_ws("\0", F.coalesce(doc_id.cast("string"), F.lit("-")), text.isNull().cast("string"),
-                                     F.coalesce(text, F.lit(""))).cast("binary")))
-
-
 class _Record(NamedTuple):
     doc_id: object
     doc: bytes

@@ -1,41 +1,93 @@
-"""Substring dedup by hashing lines or paragraphs.
+"""Substring dedup by hashing parts of lines or paragraphs.
 
-A unit is a line, or a paragraph between blank lines. Units are normalised to lower-case words, parted
-at Unicode blanks and punctuation too, and hashed; of the units with one hash over all documents the earliest ranked occurrence stays, by
-document id and place, and the others are cut out. What is cut is returned with its place in the
-original text and the document that keeps it.
+A line, or a paragraph between blank lines, is parted at words chosen by their hash: before a word
+whose hash is the least among ``REACH`` words on both sides. Whether a word is chosen depends on these
+words only, so a passage parts alike wherever it stands, also inside a line. Parts have more than
+``REACH`` words; a shorter line is one part. Full stops of scripts without blanks part as well.
 
-Hashes are grouped with folding on the map side: a unit that stands in a third of all documents
-comes to the shuffle once for each task. Cutting happens inside the document.
+Parts are normalised to lower-case words, parted at Unicode blanks and punctuation too, and hashed. Of
+the parts with one hash over all documents the earliest ranked occurrence stays, by document id and
+place, and the others are cut out. Where a passage ends inside a part, the cut is extended word by word:
+each part carries the hashes of its neighbours' words, and the words next to a removed part go as far as
+they are those next to the part that stays, if two at least; short lines neither go so nor take words
+along. What is cut is returned with its place in the original text
+and the document that keeps it.
+
+Hashes are range-partitioned with the documents in their rank, so that a part that stands in a
+third of all documents fills many ranges. A task streams its range; only the part at the start of a
+range has to wait for where it began, which one summary a range tells.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 import unicodedata
+from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from saleslens.llm.common import add_fields, appended, col, fresh, map_batches, map_rows, staged, words_of
+from saleslens.llm.common import add_fields, appended, col, fresh, map_batches, map_rows, mix, row_key, series, staged, words_of
+
+#: Words on either side among which a chosen word has the least hash.
+REACH = 5
+#: Parts of fewer words may meet by chance. They are repeated if so many documents hold them, and
+#: if they have so many characters.
+LEAST_WORDS, LEAST_DOCS, LEAST_CHARACTERS = 5, 10, 12
+#: Words next to a removed part that go with it, at least: one alone may meet by chance.
+LEAST_BESIDE = 2
+#: Code points that are parted at once, or one text.
+PIECE = 1 << 20
+#: Bytes that tell a word from another next to a removed part.
+_TELLING = 3
 
-#: Units of fewer words are left alone: they meet by chance.
-LEAST_WORDS = 5
 # Scripts written without blanks, and how many of their characters count as a word.
 _UNSPACED = (
-    (re.compile("[\u3005-\u3007\u3041-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff]"), 2),
-    (re.compile("[\u0e01-\u0e3a\u0e40-\u0e4e\u0e81-\u0ece\u0edc-\u0edf\u0f40-\u0fbc\u1000-\u109f\u1780-\u17d3\u1950-\u19df\u1a20-\u1aad]"), 4),
+    (re.compile("[々-〇ぁ-ヿㇰ-ㇿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ\U00020000-\U0003ffff]"), 2),
+    (re.compile("[ก-ฺเ-๎ກ-໎ໜ-ໟཀ-ྼက-႟ក-៓ᥐ-᧟ᨠ-᪭]"), 4),
 )
-# Blanks and punctuation beyond ASCII; none are known above these planes.
-_APART = {c: " " for c in range(128, 0x20000) if c == 0x85 or unicodedata.category(chr(c))[0] in "PZ"}
+_STOPS = "。！？｡"
 _BREAKS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n(?:[ \t\r]*\n)+")}
+# Blanks and punctuation are known below this code point; beyond it all characters belong to words.
+_KNOWN = 0x20000
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each code point: whether it belongs to a word, its hash (A-Z as a-z), its share of a word."""
+    plain = [chr(c).isalnum() if c < 128 else not (c == 0x85 or unicodedata.category(chr(c))[0] in "PZ") for c in range(_KNOWN)]
+    inside = np.array([*plain, True])
+    values = series(41, _KNOWN + 1)
+    values[65:91] = values[97:123]
+    shares = np.zeros(_KNOWN + 1, np.float32)
+    for script, n in _UNSPACED:
+        shares[[c for c in range(128, _KNOWN) if script.match(chr(c))]] = 1 / n
+    shares[_KNOWN] = 0.5
+    return inside, np.where(inside, values, np.uint64(0)), shares
+
+
+_INSIDE, _VALUES, _SHARES = _tables()
+_ODD = series(42, 3) | np.uint64(1)
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(max(n, 1), base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out, out=out)
+
+
+def _sums(values: np.ndarray, begins: np.ndarray, base: np.uint64) -> np.ndarray:
+    """A polynomial over each run of values, which starts at ``begins`` and ends before the next."""
+    sizes = np.diff(np.append(begins, len(values)))
+    place = np.arange(len(values)) - np.repeat(begins, sizes)
+    return np.add.reduceat(values * _powers(base, int(sizes.max()))[place], begins)
 
 
 def split(text: str, unit: str = "line") -> list[tuple[int, int]]:
-    """Start and end of each unit, in code points, without the break after it."""
+    """Start and end of each line or paragraph, in code points, without the break after it."""
     out, start = [], 0
     for found in _BREAKS[unit].finditer(text):
         out.append((start, found.start()))
@@ -43,114 +95,368 @@ def split(text: str, unit: str = "line") -> list[tuple[int, int]]:
     return [*out, (start, len(text))]
 
 
-def digest(unit: str, least_words: int = LEAST_WORDS) -> bytes | None:
-    """The hash of a unit's words; None if they are too few to count. In scripts without blanks some
-    characters count as a word."""
-    plain = unit.isascii()
-    words = words_of((unit if plain else unit.translate(_APART)).encode())
-    size = len(words)
-    if words and not plain and size < least_words:
-        size = max(size, sum(len(script.findall(unit)) / n for script, n in _UNSPACED))
-    return hashlib.md5(b" ".join(words)).digest() if size >= max(1, least_words) else None
+class Parts(NamedTuple):
+    """The parts of some texts, one text after the other, and their words."""
+
+    text: np.ndarray  # number of the text of each part
+    line: np.ndarray  # number of its line in its text
+    start: np.ndarray  # its place in its text, with what stands before its first word in the line
+    end: np.ndarray
+    first: np.ndarray  # its first word, and at the end the number of words
+    size: np.ndarray  # its words; in scripts without blanks, some characters count as one
+    digest: np.ndarray  # two numbers each
+    word_start: np.ndarray  # place of each word in its text
+    word_end: np.ndarray
+    word_hash: np.ndarray
+
+
+def parts(texts: list[str], unit: str = "line", reach: int = REACH) -> Parts:
+    """The parts of texts. A line without words has none."""
+    begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    points = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), "<u4")
+    if unit == "line":
+        line_end = np.flatnonzero(points == 10)
+        line_start = np.concatenate([[0], line_end[:-1] + 1])
+    else:
+        spans = np.array([(a + begin, b + begin) for t, begin in zip(texts, begins, strict=False) for a, b in split(t, unit)])
+        line_start, line_end = spans[:, 0], spans[:, 1]
+    known = np.minimum(points, _KNOWN)
+    inside = _INSIDE[known]
+    edges = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
+    start, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    n = len(start)
+    if not n:
+        none = np.empty(0, np.int64)
+        return Parts(none, none, none, none, np.zeros(1, np.int64), none, np.empty((0, 2), np.uint64), none, none, np.empty(0, np.uint64))
+    values = _VALUES[known]
+    if len(points) and int(points.max()) >= _KNOWN:
+        values = np.where(points >= _KNOWN, mix(points.astype(np.uint64) + np.uint64(1 << 40)), values)
+    hashes = mix(_sums(values[start[0] :], start - start[0], _ODD[0]))
+    line = np.searchsorted(line_start, start, "right") - 1
+    stops = np.cumsum(np.isin(points, [ord(c) for c in _STOPS]))[start]
+    at = np.arange(n)
+    opens = np.concatenate([[True], (line[1:] != line[:-1]) | (stops[1:] != stops[:-1])])
+    heads = np.flatnonzero(opens)
+    sizes = np.diff(np.append(heads, n))
+    head, tail = np.repeat(heads, sizes), np.repeat(heads + sizes, sizes)
+    chosen = (at - head > reach) & (tail - at > reach)
+    for k in range(1, reach + 1):
+        chosen[k:] &= hashes[k:] < hashes[:-k]
+        chosen[:-k] &= hashes[:-k] <= hashes[k:]
+    first = np.flatnonzero(opens | chosen)
+    ends = np.append(first, n)
+    counts = np.diff(ends).astype(np.float64)
+    if int(points.max()) > 127:
+        shares = np.add.reduceat(np.where(inside, _SHARES[known], 0)[start[0] :], start - start[0])
+        counts = np.maximum(counts, np.add.reduceat(shares, first))
+    length = np.diff(ends).astype(np.uint64)
+    digest = np.stack([mix(_sums(hashes, first, _ODD[1]) + length), mix(_sums(mix(hashes ^ _ODD[0]), first, _ODD[2]) + length)], axis=1)
+    of_line = line[first]
+    text = np.searchsorted(begins, start[first], "right") - 1
+    new_line = np.concatenate([[True], of_line[1:] != of_line[:-1]])
+    part_start = np.where(new_line, line_start[of_line], start[first])
+    part_end = np.where(np.append(new_line[1:], True), line_end[of_line], np.append(start[first[1:]], 0))
+    shift = begins[text]
+    word_shift = np.repeat(shift, np.diff(ends))
+    of_text = of_line - np.searchsorted(line_start, shift)
+    return Parts(text, of_text, part_start - shift, part_end - shift, ends, counts, digest, start - word_shift, end - word_shift, hashes)
+
+
+def digest(unit: str) -> bytes | None:
+    """The hash of a text's first part; None if it has no words."""
+    found = parts([unit]).digest
+    return found[0].tobytes() if len(found) else None
+
+
+def _pieces(texts: Iterator[tuple[int, str]]) -> Iterator[tuple[list[int], list[str]]]:
+    """Numbered texts in lists of up to ``PIECE`` code points, or of one text."""
+    rows, held, size = [], [], 0
+    for k, text in texts:
+        if held and size + len(text) > PIECE:
+            yield rows, held
+            rows, held, size = [], [], 0
+        rows.append(k)
+        held.append(text)
+        size += len(text) + 1
+    if held:
+        yield rows, held
+
+
+# ---------------------------------------------------------------------------------------------
+# what a part tells of itself: whether it is short, its places, and the words next to the first of them
+
+
+def _telling(hashes: np.ndarray) -> bytes:
+    """Some bytes of each word's hash."""
+    return np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_TELLING]).tobytes()
+
+
+def _pack(short: bool, places: bytes, before: bytes, after: bytes) -> bytes:
+    return b"".join([b"\1" if short else b"\0", len(places).to_bytes(4, "little"), places, len(before).to_bytes(4, "little"), before, after])
+
+
+def _unpack(told: bytes) -> tuple[bool, np.ndarray, bytes, bytes]:
+    n = int.from_bytes(told[1:5], "little")
+    m = int.from_bytes(told[5 + n : 9 + n], "little")
+    return told[0] == 1, np.frombuffer(told, "<u4", n // 4, 5), told[9 + n : 9 + n + m], told[9 + n + m :]
+
+
+def _tell(found: Parts, k: int) -> Iterator[tuple[bytes, bytes]]:
+    """Digest and description of the distinct parts of the ``k``-th text."""
+    lo, hi = np.searchsorted(found.text, [k, k + 1])
+    if lo == hi:
+        return
+    words = _telling(found.word_hash[found.first[lo] : found.first[hi]])
+    ends = ((found.first[lo : hi + 1] - found.first[lo]) * _TELLING).tolist()
+    length = found.word_end[found.first[lo + 1 : hi + 1] - 1] - found.word_start[found.first[lo:hi]]
+    short = (found.size[lo:hi] < LEAST_WORDS).tolist()
+    skip = (found.size[lo:hi] < LEAST_WORDS) & (length < LEAST_CHARACTERS)
+    data = found.digest[lo:hi].tobytes()
+    places: dict[bytes, list[int]] = {}
+    for place in np.flatnonzero(~skip).tolist():
+        places.setdefault(data[16 * place : 16 * place + 16], []).append(place)
+    for mark, where in places.items():
+        p = where[0]
+        before = words[ends[p - 1] : ends[p]] if p else b""
+        after = words[ends[p + 1] : ends[p + 2]] if p + 2 < len(ends) else b""
+        yield mark, _pack(short[p], np.array(where, "<u4").tobytes(), before, after)
+
+
+# ---------------------------------------------------------------------------------------------
+# ranges of digests
+
+
+class _Holder(NamedTuple):
+    doc_id: object
+    doc: bytes
+    told: bytes
 
 
-def cut(text: str, places: list[tuple[int, int]], gone: set[int]) -> str:
-    """The text without the units of these numbers, each with the break after it (the last: before)."""
-    if not gone:
+class _Run:
+    """The documents that hold one part, as far as a task has come, in their rank."""
+
+    def __init__(self, digest: bytes, at_start: bool):
+        self.digest, self.at_start = digest, at_start
+        self.n, self.last, self.head = 0, None, None
+        self.held: list[_Holder] = []
+        self.need = 1
+
+    def add(self, holder: _Holder, emit) -> None:
+        if holder.doc == self.last:
+            return  # a repeated row
+        self.last, self.n = holder.doc, self.n + 1
+        if self.head is None:
+            self.head, self.need = holder, LEAST_DOCS if holder.told[0] else 1
+        if self.at_start:
+            emit("waits", self.digest, holder, None, 0)
+        elif self.n < self.need:
+            self.held.append(holder)
+        else:
+            for early in [*self.held, holder]:
+                emit("gone", None, early, self.head, 0)
+            self.held = []
+
+    def close(self, at_end: bool, emit) -> None:
+        if self.at_start or at_end:
+            emit("sum", self.digest, self.head, None, self.n)
+            for holder in self.held:
+                emit("waits", self.digest, holder, None, 0)
+
+
+def _stream(names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        now: _Run | None = None
+
+        def emit(state, digest, holder, head, n) -> None:
+            if head is not None:
+                first = holder.doc == head.doc
+                if first and len(_unpack(holder.told)[1]) < 2:
+                    return  # the occurrence that stays, and no other
+                rows.append((state, digest, *holder, head.doc_id, head.told, first, n))
+            else:
+                rows.append((state, digest, *holder, None, None, None, n))
+
+        def out() -> pa.RecordBatch:
+            kinds = (pa.string(), pa.binary(), id_type, pa.binary(), pa.binary(), id_type, pa.binary(), pa.bool_(), pa.int64())
+            made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            rows.clear()
+            return made
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            id_type = batch.schema.field(1).type
+            digests = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64).reshape(-1, 2)
+            same = (digests[1:] == digests[:-1]).all(axis=1)
+            several = np.fromiter((v.as_py()[1:5] != b"\4\0\0\0" for v in batch.column(3)), bool, batch.num_rows)
+            look = np.append(same, True) | np.append([True], same) | several
+            batch = batch.take(pa.array(np.flatnonzero(look)))
+            for digest, *holder in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if now is None or digest != now.digest:
+                    if now is not None:
+                        now.close(False, emit)
+                    now = _Run(digest, now is None)
+                now.add(_Holder(*holder), emit)
+                if len(rows) >= 4096:
+                    yield out()
+        if now is not None:
+            now.close(True, emit)
+        if rows:
+            yield out()
+
+    return run
+
+
+def repeats(docs: DataFrame, unit: str = "line") -> DataFrame:
+    """``doc``, ``told`` (the part and its places), ``keeper`` and ``kept`` (the part that stays) and
+    ``spare_first`` (the first place is the one that stays). ``docs`` has ``doc_id, doc, text``."""
+    schema = T.StructType([T.StructField("digest", T.BinaryType()), docs.schema["doc_id"], docs.schema["doc"], T.StructField("told", T.BinaryType())])
+
+    def list_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, texts in _pieces(enumerate(batch.column(2).to_pylist())):
+                found = parts(texts, unit)
+                take, digests, told = [], [], []
+                for k, row in enumerate(rows):
+                    for mark, what in _tell(found, k):
+                        take.append(row)
+                        digests.append(mark)
+                        told.append(what)
+                at = pa.array(take, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), batch.column(0).take(at), batch.column(1).take(at), pa.array(told, pa.binary())],
+                                                 names=schema.names)
+
+    order = [F.col("digest"), F.col("doc_id").asc_nulls_last(), F.col("doc")]
+    ranged = map_batches(docs, schema, list_parts).repartitionByRange(*order).sortWithinPartitions(*order)
+    out = T.StructType([T.StructField("state", T.StringType()), *schema.fields, T.StructField("keeper", docs.schema["doc_id"].dataType),
+                        T.StructField("kept", T.BinaryType()), T.StructField("spare_first", T.BooleanType()), T.StructField("n", T.LongType())])
+    seen = staged(map_batches(ranged, out, _stream(out.names)), "units-seen")
+    # at most two rows a range
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc", "told")
+    heads = seen.where("state = 'sum'").groupBy("digest").agg(F.sum("n").alias("everywhere"), F.min(rank).alias("head"))
+    late = (seen.where("state = 'waits'").select("digest", "doc", "told").join(staged(heads, "units-heads"), "digest")
+            .where((F.substring("told", 1, 1) == F.unhex(F.lit("00"))) | (F.col("everywhere") >= LEAST_DOCS)))
+    first = F.col("doc") == F.col("head.doc")
+    late = late.select("doc", "told", F.col("head.doc_id").alias("keeper"), F.col("head.told").alias("kept"), first.alias("spare_first"))
+    return seen.where("state = 'gone'").select("doc", "told", "keeper", "kept", "spare_first").union(late)
+
+
+# ---------------------------------------------------------------------------------------------
+# cutting
+
+
+class _Cut(NamedTuple):
+    start: int
+    end: int
+    keeper: object
+
+
+def _matching(words: bytes, others: bytes, ahead: bool) -> int:
+    """How many words in a row are the same, from the start or from the end."""
+    n = min(len(words), len(others)) // _TELLING
+    for k in range(n):
+        a, b = (k * _TELLING, k * _TELLING) if ahead else (len(words) - (k + 1) * _TELLING, len(others) - (k + 1) * _TELLING)
+        if words[a : a + _TELLING] != others[b : b + _TELLING]:
+            return k
+    return n
+
+
+def cuts(found: Parts, k: int, gone: list[dict]) -> tuple[list[_Cut], set[int], int]:
+    """What goes from the ``k``-th text: pieces of it in order, the lines that go whole, the number of whole parts."""
+    lo, hi = (int(x) for x in np.searchsorted(found.text, [k, k + 1]))
+    keeper, beside = {}, {}
+    for row in gone:
+        places = _unpack(row["told"])[1]
+        _, _, before, after = _unpack(row["kept"])
+        for place in places[1 if row["spare_first"] else 0 :].tolist():
+            keeper[place], beside[place] = row["keeper"], (before, after)
+    out = {p: [_Cut(int(found.start[lo + p]), int(found.end[lo + p]), keeper[p])] for p in keeper}
+    for p in keeper:
+        for q, ahead in ((p - 1, False), (p + 1, True)):
+            if not 0 <= q < hi - lo or q in keeper or min(found.size[lo + p], found.size[lo + q]) < LEAST_WORDS:
+                continue  # short lines are told by their number alone
+            a, b = int(found.first[lo + q]), int(found.first[lo + q + 1])
+            n = _matching(_telling(found.word_hash[a:b]), beside[p][ahead], ahead)
+            start, end = int(found.start[lo + q]), int(found.end[lo + q])
+            if n < b - a:
+                start, end = (start, int(found.word_start[a + n])) if ahead else (int(found.word_start[b - n]), end)
+            if n >= LEAST_BESIDE or n == b - a:
+                out.setdefault(q, []).append(_Cut(start, end, keeper[p]))
+    pieces, whole, left = [], 0, set()
+    for q in range(hi - lo):
+        start, end = int(found.start[lo + q]), int(found.end[lo + q])
+        reached = start
+        for piece in sorted(out.get(q, ()), key=lambda c: (c.start, -c.end)):
+            if piece.end > reached:
+                pieces.append(piece._replace(start=max(piece.start, reached)))
+                start, reached = start + piece.end - pieces[-1].start, piece.end
+        # what is left of the part is as long as it has not been moved to its end
+        whole += start == end
+        if start < end:
+            left.add(int(found.line[lo + q]))
+    return pieces, set(found.line[lo:hi].tolist()) - left, whole
+
+
+def cut(text: str, places: list[tuple[int, int]], gone: set[int], pieces: list[tuple] = ()) -> str:
+    """The text without the lines of these numbers, each with the break after it (the last: before),
+    and without the pieces of other lines."""
+    if not gone and not pieces:
         return text
-    out, end = [], None
+    out, shown, at = [], False, 0
     for k, (a, b) in enumerate(places):
-        if k not in gone:
-            if end is not None:
-                # the break before this unit, as it stood there
-                out.append(text[places[k - 1][1] : a])
-            out.append(text[a:b])
-            end = b
+        while at < len(pieces) and pieces[at][1] <= a:
+            at += 1
+        if k in gone:
+            continue
+        if shown:
+            out.append(text[places[k - 1][1] : a])  # the break before this line, as it stood there
+        shown = True
+        while at < len(pieces) and pieces[at][0] < b:
+            out.append(text[a : pieces[at][0]])
+            a = pieces[at][1]
+            at += 1
+        out.append(text[a:b])
     return "".join(out)
 
 
-def _row_key(doc_id, text):
-    return F.md5(F.concat_ws("\0", F.coalesce(doc_id.cast("string"), F.lit("-")), F.coalesce(text, F.lit("")), text.isNull().cast("string")).cast("binary"))
-
-
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", unit: str = "line",
-          least_words: int = LEAST_WORDS) -> tuple[DataFrame, dict[str, str]]:
-    """``docs`` with repeated units cut from the text, and the names of the columns added.
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", unit: str = "line") -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with repeated parts cut from the text, and the names of the columns added.
 
-    Added are ``n_units``, ``n_removed``, ``removed`` (start and end in code points of the original
-    text, and the id of the document that keeps the unit) and ``original_words`` (whether the
-    original text had any word). Names that ``docs`` has already get a ``_``. Ids rank in their
-    order, null last; texts of one id by a hash. Rows that repeat both id and text are one document
-    and are treated alike. Null text stays null, empty text empty. All other columns stay.
+    Added are ``n_units`` (parts), ``n_removed`` (of them, whole), ``removed`` (start and end in code
+    points of the original text, and the id of the document that keeps the words) and
+    ``original_words`` (whether the original text had any word). Names that ``docs`` has already get
+    a ``_``. Ids rank in their order, null last; texts of one id by a hash. Rows that repeat both id
+    and text are one document and are treated alike. Null text stays null, empty text empty; lines
+    of which nothing is left go with their break. All other columns stay.
     """
     wanted = ("n_units", "n_removed", "removed", "original_words")
     names = dict(zip(wanted, fresh(docs.columns, *wanted), strict=True))
     id_type = docs.schema[doc_id].dataType
-    light = docs.where(col(text).isNotNull()).select(col(doc_id).alias("doc_id"), _row_key(col(doc_id), col(text)).alias("row"), col(text).alias("text"))
-    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("row", T.StringType()), T.StructField("place", T.IntegerType()),
-                           T.StructField("digest", T.BinaryType())])
-
-    def list_units(batches):
-        for batch in batches:
-            ids, rows, places, digests = [], [], [], []
-            for k, value in enumerate(batch.column(2)):
-                whole, seen = value.as_py(), set()
-                for place, (a, b) in enumerate(split(whole, unit)):
-                    found = digest(whole[a:b], least_words)
-                    if found is not None and found not in seen:
-                        seen.add(found)
-                        ids.append(k)
-                        places.append(place)
-                        digests.append(found)
-            take = pa.array(ids, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(places, pa.int32()),
-                                              pa.array(digests, pa.binary())], names=schema.names)
-
-    units = staged(map_batches(light, schema, list_units), "units")
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    shared = units.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first")).where("n > 1")
-    # written, so that the join below has shuffles of its own, in which a common unit is split
-    shared = staged(shared.select("digest", "first"), "units-shared")
-    gone = (units.join(shared, "digest").where(F.col("row") != F.col("first.row"))
-            .groupBy("row").agg(F.collect_set(F.struct("place", F.col("first.doc_id").alias("keeper"))).alias("gone")))
-    key, found = fresh([*docs.columns, *names.values()], "row_key", "gone")
-    keyed = docs.withColumn(key, _row_key(col(doc_id), col(text)))
-    joined = keyed.join(gone.select(F.col("row").alias(key), F.col("gone").alias(found)), key, "left").select(*map(col, docs.columns), col(found))
+    light = docs.where(col(text).isNotNull()).select(col(doc_id).alias("doc_id"), row_key(col(doc_id), col(text)).alias("doc"), col(text).alias("text"))
+    gone = repeats(light, unit).groupBy("doc").agg(F.collect_list(F.struct("told", "keeper", "kept", "spare_first")).alias("gone"))
+    key, found_gone = fresh([*docs.columns, *names.values()], "row_key", "gone")
+    keyed = docs.withColumn(key, row_key(col(doc_id), col(text)))
+    joined = keyed.join(gone.select(F.col("doc").alias(key), F.col("gone").alias(found_gone)), key, "left").select(*map(col, docs.columns), col(found_gone))
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("keeper", id_type)])
     types = (T.LongType(), T.LongType(), T.ArrayType(span), T.BooleanType())
-    at, at_id = docs.columns.index(text), docs.columns.index(doc_id)
-    width = len(docs.columns)
+    at, at_id, width = docs.columns.index(text), docs.columns.index(doc_id), len(docs.columns)
 
     def remove(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, counts, gone_counts, removed, worded = [], [], [], [], []
-        for value, own, rows in zip(batch.column(at), batch.column(at_id), batch.column(width), strict=True):
-            whole = value.as_py()
-            if whole is None:
-                texts.append(None)
-                counts.append(0)
-                gone_counts.append(0)
-                removed.append([])
-                worded.append(False)
-                continue
-            places, seen = split(whole, unit), set()
-            keepers = {r["place"]: r["keeper"] for r in rows.as_py() or []}
-            elsewhere = {}
-            for place, (a, b) in enumerate(places):
-                found = digest(whole[a:b], least_words)
-                if found is None:
+        n = batch.num_rows
+        texts = batch.column(at).to_pylist()
+        counts, gone_counts, removed = [0] * n, [0] * n, [[]] * n
+        worded = [bool(t) and bool(words_of(t.encode())) for t in texts]
+        for rows, held in _pieces((k, t) for k, t in enumerate(texts) if t):
+            found = parts(held, unit)
+            for k, row in enumerate(rows):
+                counts[row] = int(np.subtract(*np.searchsorted(found.text, [k + 1, k])))
+                lost = batch.column(width)[row].as_py()
+                if not lost:
                     continue
-                if place in keepers:
-                    elsewhere[found] = keepers[place]
-                elif found in elsewhere:
-                    keepers[place] = elsewhere[found]
-                elif found in seen:
-                    keepers[place] = own.as_py()
-                seen.add(found)
-            texts.append(cut(whole, places, set(keepers)))
-            counts.append(len(places))
-            gone_counts.append(len(keepers))
-            removed.append([{"start": places[k][0], "end": places[k][1], "keeper": keepers[k]} for k in sorted(keepers)])
-            worded.append(bool(words_of(whole.encode())))
+                pieces, lines, gone_counts[row] = cuts(found, k, lost)
+                texts[row] = cut(held[k], split(held[k], unit), lines, pieces)
+                removed[row] = [{"start": p.start, "end": p.end, "keeper": p.keeper} for p in pieces]
         columns = [pa.array(texts, batch.schema.field(at).type) if k == at else batch.column(k) for k in range(width)]
         kept = pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:width])
         spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("keeper", batch.schema.field(at_id).type)]))

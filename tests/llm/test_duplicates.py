@@ -1,6 +1,9 @@
 """Jaccard join, line dedup and the pipeline."""
 
+import functools
 import random
+import re
+import unicodedata
 from collections import defaultdict
 
 import numpy as np
@@ -96,23 +99,83 @@ def test_one_of_each_keeps_columns_and_wordless_rows(spark):
     assert ids == sorted((i is None, i or 0) for i in (1, 2, 3, 4, 5, 6, 9, 10, 11, None))
 
 
-def plain_units(rows, least=units.LEAST_WORDS):
-    """Texts and removed counts by walking through the documents in rank."""
-    seen, out = set(), {}
-    for i, text in sorted(rows):
-        kept, gone = [], 0
-        for line in text.split("\n"):
-            words = tuple(words_of(line.encode()))
-            if len(words) >= least:
-                if words in seen:
-                    gone += 1
+def in_word(c):
+    return c.isascii() and c.isalnum() or ord(c) > 127 and c != "\x85" and unicodedata.category(c)[0] not in "PZ"
+
+
+@functools.cache
+def word_hash(word):
+    return int(units.parts([word]).word_hash[0])
+
+
+def plain_parts(text):
+    """The parts of a text: line, start, end, and its words with their places."""
+    out, begin = [], 0
+    for number, line in enumerate(text.split("\n")):
+        words = [(m.start() + begin, m.group()) for m in re.finditer("W+", "".join("W" if in_word(c) else "s" for c in line))]
+        words = [(a, text[a : a + len(w)].translate({c: c + 32 for c in range(65, 91)})) for a, w in words]
+        heads = [0] + [k for k in range(1, len(words)) if re.search("[。！？｡]", text[words[k - 1][0] : words[k][0]])]
+        starts = []
+        for lo, hi in zip(heads, [*heads[1:], len(words)], strict=True):
+            h = [word_hash(w) for _, w in words[lo:hi]]
+            starts += [lo] + [lo + i for i in range(6, len(h) - 5) if h[i] < min(h[i - 5 : i]) and h[i] <= min(h[i + 1 : i + 6])]
+        for k, a in enumerate(starts if words else []):
+            b = starts[k + 1] if k + 1 < len(starts) else None
+            out.append((number, words[a][0] if k else begin, begin + len(line) if b is None else words[b][0], words[a:b]))
+        begin += len(line) + 1
+    return out
+
+
+def long_enough(words):
+    key = "".join(w for _, w in words)
+    return max(len(words), sum(len(s.findall(key)) / n for s, n in units._UNSPACED)) >= 5
+
+
+def plain_units(rows):
+    """Texts and the number of whole parts removed, by walking through the documents in rank."""
+    docs = [(i, t, plain_parts(t)) for i, t in sorted(rows)]
+    first, holders = {}, defaultdict(set)
+    for d, (_, _, found) in enumerate(docs):
+        for p, (_, _, _, words) in enumerate(found):
+            key = tuple(w for _, w in words)
+            first.setdefault(key, (d, p))
+            holders[key].add(d)
+    out = {}
+    for d, (i, text, found) in enumerate(docs):
+        keeper = {}
+        for p, (_, _, _, words) in enumerate(found):
+            key = tuple(w for _, w in words)
+            sized = long_enough(words)
+            common = len(holders[key]) >= 10 and words[-1][0] + len(words[-1][1]) - words[0][0] >= 12
+            if first[key] != (d, p) and (sized or common):
+                keeper[p] = first[key]
+        gone = set()
+        for p, (d0, p0) in keeper.items():
+            gone |= set(range(found[p][1], found[p][2]))
+            for q, q0, step in ((p - 1, p0 - 1, -1), (p + 1, p0 + 1, 1)):
+                if not 0 <= q < len(found) or q in keeper or not 0 <= q0 < len(docs[d0][2]) or not (long_enough(found[q][3]) and long_enough(found[p][3])):
                     continue
-                seen.add(words)
-            kept.append(line)
-        out[i] = ("\n".join(kept), gone)
+                mine, its = found[q][3][::step], [w for _, w in docs[d0][2][q0][3]][::step]
+                n = next((k for k in range(len(mine)) if k >= len(its) or mine[k][1] != its[k]), len(mine))
+                if n == len(mine):
+                    gone |= set(range(found[q][1], found[q][2]))
+                elif n > 1:
+                    gone |= set(range(mine[n - 1][0], found[q][2]) if step < 0 else range(found[q][1], mine[n][0]))
+        whole = [gone >= set(range(a, b)) for _, a, b, _ in found]
+        lines, begin = [], 0
+        for number, line in enumerate(text.split("\n")):
+            its = [w for w, f in zip(whole, found, strict=True) if f[0] == number]
+            if not its or not all(its):
+                lines.append("".join(c for k, c in enumerate(line, begin) if k not in gone))
+            begin += len(line) + 1
+        out[i] = ("\n".join(lines), sum(whole))
     return out
 
 
+def holds(words, some):
+    return any(words[k : k + len(some)] == some for k in range(len(words) - len(some) + 1))
+
+
 def test_line_dedup_query_equals_a_walk(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     want = plain_units(rows)
@@ -123,7 +186,7 @@ def test_line_dedup_query_equals_a_walk(spark, sf_dir):
         assert (r.text, r.n_removed) == want[r.doc_id]
         for cut in r.removed:
             line = originals[r.doc_id][cut.start : cut.end]
-            assert "\n" not in line and words_of(line.encode()) in [words_of(x.encode()) for x in originals[cut.keeper].split("\n")]
+            assert "\n" not in line and holds(words_of(originals[cut.keeper].encode()), words_of(line.encode()))
 
 
 def test_line_dedup_of_odd_rows(spark):
@@ -149,6 +212,41 @@ def test_repeated_lines_of_scripts_without_blanks(spark):
     assert units.digest("未经许可，不得转载本站的内容。") == units.digest("未经许可 不得转载本站的内容")
 
 
+def ranges(spark, n):
+    """Shuffles of ``n`` partitions, not coalesced; gives what was set before."""
+    names = "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"
+    was = [spark.conf.get(name) for name in names]
+    for name, value in zip(names, (n, "false"), strict=True):
+        spark.conf.set(name, value)
+    return dict(zip(names, was, strict=True))
+
+
+@pytest.mark.parametrize("n", [1, 40])
+def test_passages_inside_lines(spark, n):
+    """Passages of fifty words amid other words, a very common line, and short lines."""
+    passages = [prose(900 + k, 50 + k) for k in range(4)]
+    texts = []
+    for d in range(60):
+        a, b, c = prose(3 * d, 30), prose(3 * d + 1, 17), prose(3 * d + 2, 12)
+        texts.append(f"{a} {passages[d % 4]} {b}\nAll rights reserved.\nMenu\nthe same long line of more than five words\n{c}\nrow {d // 5} of them all here")
+    rows = [*enumerate(texts), (60, "All rights\n" * 3 + "one two three four five six\n" * 3)]
+    was = ranges(spark, n)
+    try:
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got = {r.doc_id: r for r in units.dedup(docs)[0].collect()}
+    finally:
+        for name, value in was.items():
+            spark.conf.set(name, value)
+    want = plain_units(rows)
+    assert {i: (r.text, r.n_removed) for i, r in got.items()} == want
+    for d in range(4, 60):
+        words = got[d].text.split()
+        assert not holds(words, passages[d % 4].split()[:8]) and not holds(words, passages[d % 4].split()[-8:])
+        assert holds(words, prose(3 * d, 30).split()) and holds(words, prose(3 * d + 1, 17).split())
+        assert "Menu" in words and "rights" not in words and "long" not in words
+    assert got[60].text == "All rights\n" * 3 + "one two three four five six\n"
+
+
 def test_paragraphs(spark):
     a, b = prose(1, 10), prose(2, 10)
     docs = spark.createDataFrame([(1, f"{a}\n{b}\n\n{b}"), (2, f"{b}\n \n{a}\n{b}\n\nend")], "doc_id long, text string")
