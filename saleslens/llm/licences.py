@@ -8,9 +8,9 @@ licence. A held-out part of the examples sets the temperature of the probabiliti
 a family must be, so that ``unknown`` is seldom taken for one. A prediction counts once one of the
 family's templates confirms it: the paragraph has most of the template's two-grams.
 
-Texts are first looked through for ``HINTS``: of every template so many two-grams hold one of these
-words that a paragraph with none of them cannot be confirmed. What has no hint and none of the ``CUES``
-is not scored; the test that turns this off finds the same.
+Texts are first looked through, once, for ``HINTS``: of every template so many two-grams hold one of
+these words that a paragraph with none of them cannot be confirmed. What has no hint and none of the
+``CUES`` is not scored; the test that turns this off finds the same.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ UNKNOWN = "unknown"
 BUCKETS = 1 << 14
 ROUNDS = 24
 RATE, DECAY = 4.0, 1e-4
-#: Corpus paragraphs that teach ``unknown``, at most.
-MAX_NEGATIVES = 600
+#: Corpus lines that teach ``unknown``, at most, and the texts, chosen by their hash, that they are from.
+MAX_NEGATIVES, MAX_DOCS = 600, 600
 #: Share of held-out ``unknown`` examples that may pass as a family.
 FALSE_SHARE = 0.01
 LEAST_PROBABILITY = 0.5
@@ -70,6 +70,20 @@ TEMPLATES = (
     ("Proprietary", "Copyright. All rights reserved. No part of this work may be reproduced without the prior written permission of the publisher."),
     ("Proprietary", "All rights reserved."),
     ("Proprietary", "All rights reserved by the copyright holder."),
+    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("Apache-2.0", "You must give any other recipients of the Work or Derivative Works a copy of this License; and You must cause any modified files to carry prominent notices stating that You changed the files."),
+    ("GPL-3.0", "The GNU General Public License is a free, copyleft license for software and other kinds of works."),
+    ("GPL-2.0", "The licenses for most software are designed to take away your freedom to share and change it."),
+    ("BSD", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("BSD", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution."),
+    ("BSD", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "The GNU Affero General Public License is designed specifically to ensure that the modified source code becomes available to the community."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."),
+    ("Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely."),
+    ("Zlib", "Licensed under the zlib License."),
+    ("Artistic-2.0", "Licensed under the Artistic License 2.0."),
+    ("Artistic-2.0", "You are permitted to use this Package under the terms of the Artistic License as specified in the Package."),
 )
 # Sentences that sound like a licence and are none.
 SOUNDS_ALIKE = (
@@ -129,23 +143,29 @@ def _rows(spark: SparkSession, names: str, rows) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*cells)))
 
 
+#: What belongs to a word, as ``words`` parts them.
+_IN_WORD = r"[a-z0-9\x{80}-\x{10FFFF}]"
+
+
+def _pattern(hints: bool) -> str:
+    """A cue anywhere or, with ``hints``, a hint as a word; alternatives of hints by first letter."""
+    found = [re.escape(c) for c in CUES]
+    if hints:
+        by_letter: dict[str, list[str]] = {}
+        for hint in HINTS:
+            by_letter.setdefault(hint[0], []).append(hint[1:])
+        some = "|".join(f"{letter}(?:{'|'.join(ends)})" for letter, ends in by_letter.items())
+        found.append(f"(?<!{_IN_WORD})(?:{some})(?!{_IN_WORD})")
+    return "|".join(found)
+
+
 def has_cue(text: Column) -> Column:
-    lowered, out = F.lower(text), F.lit(False)
-    for cue in CUES:
-        out = out | F.contains(lowered, F.lit(cue))
-    return F.coalesce(out, F.lit(False))
+    return F.coalesce(F.rlike(F.lower(text), F.lit(_pattern(False))), F.lit(False))
 
 
 def may_hold(text: Column) -> Column:
-    """Whether a text has a cue or a hint; a hint may stand inside a longer word if it is long."""
-    lowered, out = F.lower(text), has_cue(text)
-    for hint in HINTS:
-        if len(hint) > 4:
-            out = out | F.contains(lowered, F.lit(hint))
-    short = "|".join(h for h in HINTS if len(h) <= 4)
-    if short:
-        out = out | F.rlike(lowered, F.lit(f"(?<![a-z0-9])(?:{short})(?![a-z0-9])"))
-    return F.coalesce(out, F.lit(False))
+    """Whether a text has a cue, or a hint as a word of its own."""
+    return F.coalesce(F.rlike(F.lower(text), F.lit(_pattern(True))), F.lit(False))
 
 
 def words(text: Column) -> Column:
@@ -175,11 +195,12 @@ def _bagged(rows: DataFrame, text: str) -> DataFrame:
 def _examples(docs: DataFrame, text: str) -> DataFrame:
     """``label`` (place in CLASSES), ``held`` and ``bag`` of all examples."""
     spark = docs.sparkSession
-    lines = docs.select(F.explode(F.split(col(text), "\n")).alias("t")).where((F.length("t") > 20) & ~has_cue(F.col("t")))
-    # the least hashes are found first, so that only numbers are shuffled, a common line once a task
-    least = lines.select(F.xxhash64("t").alias("h")).distinct().orderBy("h").limit(MAX_NEGATIVES)
-    negatives = lines.withColumn("h", F.xxhash64("t")).join(F.broadcast(least), "h", "left_semi").select("t").distinct()
-    negatives = staged(negatives, "licences-negatives")
+    texts = docs.select(F.xxhash64(col(text)).alias("h"), col(text).alias("t")).where(F.length("t") > 20)
+    # the least hashes are found first, so that no text is shuffled
+    least = texts.select("h").distinct().orderBy("h").limit(MAX_DOCS)
+    chosen = texts.join(F.broadcast(least), "h", "left_semi").dropDuplicates(["h"])
+    lines = chosen.select(F.explode(F.split("t", "\n")).alias("t")).where((F.length("t") > 20) & ~has_cue(F.col("t")))
+    negatives = staged(lines.distinct().orderBy(F.xxhash64("t")).limit(MAX_NEGATIVES), "licences-negatives")
     alike = _rows(spark, "t", ((t,) for t in SOUNDS_ALIKE))
     unknown = negatives.unionByName(alike).select(F.lit(len(CLASSES) - 1).alias("label"), "t")
     templates = _rows(spark, "label t", ((FAMILIES.index(f), t) for f, t in TEMPLATES))
@@ -249,27 +270,40 @@ def train(docs: DataFrame, text: str = "text") -> Model:
 
 
 def paragraphs(docs: DataFrame, text: str, gate: bool = True) -> DataFrame:
-    """Lines, and paragraphs of several lines, that may hold a licence; with their start."""
-    rows = docs.where(may_hold(col(text))) if gate else docs.where(col(text).isNotNull())
-    def units(pattern: str, kind: str) -> DataFrame:
-        listed = rows.withColumn("listed", F.split(col(text), pattern))
-        return listed.select("doc_id", "row", F.lit(kind).alias("kind"), F.col("listed"), F.posexplode("listed").alias("place", "part"))
-    lines = units("\n", "line")
-    blocks = units(r"\n[ \t\r]*\n", "paragraph").where(F.contains("part", F.lit("\n")))
-    rows = lines.unionByName(blocks)
-    rows = rows.where(may_hold(F.col("part")) if gate else F.length("part") > 0)
-    return rows.drop("listed")
+    """Lines, and paragraphs of several lines, that may hold a licence; with their place."""
+    def listed(pattern: str, kind: str) -> Column:
+        return F.transform(F.split(col(text), pattern), lambda part, place: F.struct(F.lit(kind).alias("kind"), place.alias("place"), part.alias("part")))
+
+    blocks = F.filter(listed(r"\n[ \t\r]*\n", "paragraph"), lambda u: F.contains(u["part"], F.lit("\n")))
+    rows = docs.select("doc_id", "row", F.explode(F.concat(listed("\n", "line"), blocks)).alias("unit")).select("doc_id", "row", "unit.*")
+    return rows.where(may_hold(F.col("part")) if gate else F.length("part") > 0)
+
+
+def _known_grams() -> list[tuple[str, ...]]:
+    """Two-grams of the templates with a hint: each window that a template can confirm has one."""
+    lists = (re.findall(r"[a-z0-9]+", t.lower()) for _, t in TEMPLATES)
+    return sorted({g for own in lists for g in zip(own, own[1:], strict=False) if set(g) & set(HINTS)})
 
 
 def windows(found: DataFrame) -> DataFrame:
-    """Units of ``found`` whole and in windows: ``id``, place ``a`` to ``b`` and own words of each."""
+    """Units of ``found`` whole and in the windows that a template could confirm: ``id``, place ``a`` to
+    ``b`` and own words of each.
+
+    Where a unit has a two-gram of a template with a hint is found once, by position; windows
+    are then made around these places only, on a grid of half their size.
+    """
+    listed = ", ".join(f"'{x} {y}'" for x, y in _known_grams())
+    marks = f"filter(sequence(0, n - 2), i -> concat(own[i], ' ', own[i + 1]) IN ({listed}))"
     spans = ["array(struct(0 AS a, n AS b))"]
     for size in WINDOWS:
         step = size // 2
-        # the last one ends with the unit
-        spans.append(f"if(n > {size}, transform(sequence(0, cast(ceil((n - {size}) / {step}) as int)), "
-                     f"i -> struct(least(i * {step}, n - {size}) AS a, least(i * {step}, n - {size}) + {size} AS b)), array())")
+        last = f"cast(ceil((n - {size}) / {step}) as int)"
+        # those before and behind a mark; the last one ends with the unit
+        around = f"array_distinct(flatten(transform(marks, m -> array(least({last}, greatest(0, m div {step} - 1)), least({last}, m div {step}), {last}))))"
+        spans.append(f"if(n > {size}, transform({around}, i -> struct(cast(least(i * {step}, n - {size}) as int) AS a, "
+                     f"cast(least(i * {step}, n - {size}) + {size} as int) AS b)), array())")
     rows = found.select("id", "own", F.size("own").alias("n")).where("n > 0")
+    rows = rows.withColumn("marks", F.expr(f"if(n < 2, array(), {marks})"))
     rows = rows.select("id", "own", F.explode(F.expr(f"concat({', '.join(spans)})")).alias("span"))
     return rows.select("id", "span.a", "span.b", F.expr("slice(own, span.a + 1, span.b - span.a)").alias("own"))
 
@@ -286,16 +320,15 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: Mod
     """
     model = model or train(docs, text)
     rows = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text")).withColumn("row", F.xxhash64("text"))
-    once = rows.where(may_hold(F.col("text")) if gate else F.col("text").isNotNull()).dropDuplicates(["doc_id", "row"])
-    found = _bagged(paragraphs(once, "text", gate), "part")
-    found = staged(found.withColumn("id", F.monotonically_increasing_id()), "licences-found")
+    # the few texts that pass, written: they are listed, and their units dealt anew, from there
+    once = staged(rows.where(may_hold(F.col("text")) if gate else F.col("text").isNotNull()).dropDuplicates(["doc_id", "row"]), "licences-texts")
+    found = paragraphs(once, "text", gate)
+    tasks = 4 * docs.sparkSession.sparkContext.defaultParallelism
+    found = staged(found.repartition(tasks, "doc_id", "row", "kind", "place").withColumn("id", F.monotonically_increasing_id()), "licences-found")
     wanted = _bagged(_rows(docs.sparkSession, "k t", ((FAMILIES.index(f) + 1, t) for f, t in TEMPLATES)), "t")
     wanted = wanted.select("k", F.col("grams").alias("wanted"))
-    # a window (not a whole unit, which may count as unknown) without enough two-grams of any template is none
-    known_grams = sorted({" ".join(g) for _, t in TEMPLATES for own in [re.findall(r"[a-z0-9]+", t.lower())] for g in zip(own, own[1:], strict=False)})
-    listed = F.array(*map(F.lit, known_grams))
-    parts = windows(found).withColumn("grams", two_grams("own"))
-    parts = parts.where((F.col("a") == 0) | (F.size(F.array_intersect("grams", listed)) >= 2))
+    bagged = found.select("id", words(F.col("part")).alias("own"))
+    parts = windows(bagged).withColumn("grams", two_grams("own"))
     parts = staged(parts.withColumn("win", F.monotonically_increasing_id()), "licences-windows")
     bags = parts.select("win", buckets("own", "grams").alias("bag"))
     chance = _scores(bags, model.weights, "win").select("win", _softmax("z", model.temperature).alias("p"))
