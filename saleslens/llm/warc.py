@@ -120,18 +120,32 @@ def _light(pages: DataFrame, page_type: T.DataType) -> DataFrame:
 
 
 def _ordered(light: DataFrame) -> DataFrame:
-    """Numbers ``seq`` in the total order: the id's range partition and the place in it."""
+    """Numbers ``seq`` in the total order, the id's range partition and the place in it, and ``tie``, the
+    number of equal rows before. Equal rows are in one range; ``tie`` depends on nothing else."""
     keys = [F.col("id").asc_nulls_last(), F.col("url").asc_nulls_last(), F.col("digest")]
-    return staged(light.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("seq", F.monotonically_increasing_id()), "warc-ordered")
+    ranged = light.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("seq", F.monotonically_increasing_id())
+    schema = T.StructType([*ranged.schema.fields, T.StructField("tie", T.LongType())])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, tie = None, 0
+        for b in batches:
+            ties = []
+            for row in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                last, tie = row, tie + 1 if row == last else 0
+                ties.append(tie)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ties, pa.int64())], names=schema.names)
+
+    return staged(map_batches(ranged, schema, number), "warc-ordered")
 
 
 def _judged(ordered: DataFrame) -> DataFrame:
     """Kind of each record; the gzip members of revisits and small responses; every packed size."""
     first = ordered.where(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("seq", "id", "url")).alias("first")).where("n > 1")
-    rows = ordered.join(first.select("digest", "first"), "digest", "left")
+    # written, so that the join has shuffles of its own, in which a common payload is split
+    rows = ordered.join(staged(first.select("digest", "first"), "warc-first"), "digest", "left")
     rows = rows.withColumn("kind", F.when(F.col("first").isNotNull() & (F.col("first.seq") != F.col("seq")), F.lit("revisit")).otherwise("response"))
-    rows = rows.select("seq", "id", "url", "digest", "size", "small", "packed", "kind", F.col("first.id").alias("first_id"), F.col("first.url").alias("first_url"))
+    rows = rows.select("seq", "tie", "id", "url", "digest", "size", "small", "packed", "kind", F.col("first.id").alias("first_id"), F.col("first.url").alias("first_url"))
     schema = T.StructType([*(rows.schema[c] for c in ("seq", "id", "url", "digest", "size", "kind")),
                            T.StructField("member", T.BinaryType()), T.StructField("packed", T.LongType())])
 
@@ -141,9 +155,9 @@ def _judged(ordered: DataFrame) -> DataFrame:
             members, packed = [], []
             for r in b.to_pylist():
                 if r["kind"] == "revisit":
-                    made = revisit(text(r["id"]), r["url"], r["digest"], r["size"], r["seq"], text(r["first_id"]), r["first_url"])
+                    made = revisit(text(r["id"]), r["url"], r["digest"], r["size"], r["tie"], text(r["first_id"]), r["first_url"])
                 elif r["small"] is not None:
-                    made = response(text(r["id"]), r["url"], r["digest"], r["small"], r["seq"])
+                    made = response(text(r["id"]), r["url"], r["digest"], r["small"], r["tie"])
                 else:
                     made = None
                 members.append(made)
@@ -203,7 +217,7 @@ def write(pages: DataFrame, root: str, page_id: str = "page_id", url: str = "url
     packed = map_batches(carried, schema, pack)
     wanted = filed.select("file", "id", "url", "digest", "seq", "member")
     order = ["file", F.col("id").asc_nulls_last(), F.col("url").asc_nulls_last(), "digest", F.col("seq").asc_nulls_first()]
-    records = packed.unionByName(wanted).repartition("file").sortWithinPartitions(*order)
+    records = packed.unionByName(wanted).repartition(max(1, n_files), "file").sortWithinPartitions(*order)
     temporary = f"{root.rstrip('/')}/_temporary-{uuid.uuid4().hex}"
     home, folder = _file_system(temporary)
     home.create_dir(folder, recursive=True)

@@ -55,6 +55,27 @@ def test_files_are_the_same_however_the_rows_are_dealt(spark):
     assert not list(Path(many).glob("_temporary*"))
 
 
+def test_files_are_the_same_with_any_number_of_ranges(spark):
+    """Revisits, small payloads and repeated rows, in ranges of any number."""
+    rows = [(k // 2 if k % 9 == 0 else k, f"http://a/{k % 50}", prose(k % 37, 60) if k % 3 else f"small {k % 5}") for k in range(400)]
+    pages = spark.createDataFrame(rows + rows[:60] * 2, "page_id long, url string, html string")
+    names = "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"
+    was = [spark.conf.get(n) for n in names]
+    made = []
+    try:
+        spark.conf.set(names[1], "false")
+        for n in (1, 4, 9):
+            spark.conf.set(names[0], n)
+            root, manifest = archive(spark, pages.repartition(n + 1), roll_bytes=6000)
+            kinds = {r.record_id: r.record_type for r in warc.read(spark, root).collect()}
+            assert len(kinds) == 520 and set(kinds.values()) == {"response", "revisit"}
+            made.append((files(root), kinds))
+    finally:
+        for name, value in zip(names, was, strict=True):
+            spark.conf.set(name, value)
+    assert len(made[0][0]) > 3 and made[0] == made[1] == made[2]
+
+
 def test_records_are_gzip_members_in_order(spark):
     root, _ = archive(spark, odd_pages(spark))
     (content,) = files(root).values()
@@ -66,7 +87,7 @@ def test_records_are_gzip_members_in_order(spark):
 
 def test_moving_again_after_a_lost_task(spark):
     root, manifest = archive(spark, odd_pages(spark), roll_bytes=1500)
-    batch = manifest.toArrow().to_batches()[0]
+    batch = manifest.toArrow().combine_chunks().to_batches()[0]
     assert list(warc._mover(f"{root}/_temporary-gone", root)(iter([batch])))  # all are in place
     next(Path(root).glob("*.warc.gz")).write_bytes(b"other")
     with pytest.raises(RuntimeError):
