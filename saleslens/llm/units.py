@@ -7,10 +7,10 @@ words only, so a passage parts alike wherever it stands, also inside a line. Par
 
 Parts are normalised to lower-case words, parted at Unicode blanks and punctuation too, and hashed. Of
 the parts with one hash over all documents the earliest ranked occurrence stays, by document id and
-place, and the others are cut out. Where a passage ends inside a part, the cut is extended word by word:
-each part carries the hashes of its neighbours' words, and the words next to a removed part go as far as
-they are those next to the part that stays, if two at least; short lines neither go so nor take words
-along. What is cut is returned with its place in the original text
+place, and the others are cut out. Where a passage ends inside a part, the cut is extended by pairs of
+words: each part carries hashes of its neighbours' first 2, 4, 6 ... words from its side, and the words
+next to a removed part go as far as these are the same next to the part that stays; short lines neither go so
+nor take words along. What is cut is returned with its place in the original text
 and the document that keeps it.
 
 Hashes are range-partitioned with the documents in their rank, so that a part that stands in a
@@ -31,19 +31,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from saleslens.llm.common import add_fields, appended, col, fresh, map_batches, map_rows, mix, row_key, series, staged, words_of
+from saleslens.llm.common import add_fields, appended, col, fresh, map_batches, map_rows, mix, series, staged, words_of
 
 #: Words on either side among which a chosen word has the least hash.
 REACH = 5
 #: Parts of fewer words may meet by chance. They are repeated if so many documents hold them, and
 #: if they have so many characters.
 LEAST_WORDS, LEAST_DOCS, LEAST_CHARACTERS = 5, 10, 12
-#: Words next to a removed part that go with it, at least: one alone may meet by chance.
-LEAST_BESIDE = 2
 #: Code points that are parted at once, or one text.
 PIECE = 1 << 20
-#: Bytes that tell a word from another next to a removed part.
-_TELLING = 3
+#: Words next to a removed part go with it in twos, as one alone may meet by chance; bytes of their hash.
+TOGETHER, _TELLING = 2, 3
 
 # Scripts written without blanks, and how many of their characters count as a word.
 _UNSPACED = (
@@ -186,9 +184,24 @@ def _pieces(texts: Iterator[tuple[int, str]]) -> Iterator[tuple[list[int], list[
 # what a part tells of itself: whether it is short, its places, and the words next to the first of them
 
 
-def _telling(hashes: np.ndarray) -> bytes:
-    """Some bytes of each word's hash."""
-    return np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_TELLING]).tobytes()
+def _chain(hashes: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """For each part, hashes of its first 2, 4, 6 ... words; part ``k`` has the words ``ends[k]`` to ``ends[k + 1]``."""
+    sizes = np.diff(ends)
+    place = np.arange(len(hashes)) - np.repeat(ends[:-1], sizes)
+    total = np.cumsum(hashes * _powers(_ODD[1], int(sizes.max()))[place])
+    before = np.concatenate([np.zeros(1, np.uint64), total])[ends[:-1]]
+    some = place % TOGETHER == TOGETHER - 1
+    sums = mix(total[some] - np.repeat(before, sizes)[some])
+    data = np.ascontiguousarray(sums.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_TELLING]).tobytes()
+    at = (np.concatenate([[0], np.cumsum(sizes // TOGETHER)]) * _TELLING).tolist()
+    return [data[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
+def _both_ways(found: Parts, lo: int, hi: int) -> tuple[list[bytes], list[bytes]]:
+    """The chains of the parts ``lo`` to ``hi`` from their first words on, and from their last words back."""
+    ends = found.first[lo : hi + 1] - found.first[lo]
+    hashes = found.word_hash[found.first[lo] : found.first[hi]]
+    return _chain(hashes, ends), _chain(hashes[::-1], ends[-1] - ends[::-1])[::-1]
 
 
 def _pack(short: bool, places: bytes, before: bytes, after: bytes) -> bytes:
@@ -206,8 +219,7 @@ def _tell(found: Parts, k: int) -> Iterator[tuple[bytes, bytes]]:
     lo, hi = np.searchsorted(found.text, [k, k + 1])
     if lo == hi:
         return
-    words = _telling(found.word_hash[found.first[lo] : found.first[hi]])
-    ends = ((found.first[lo : hi + 1] - found.first[lo]) * _TELLING).tolist()
+    ahead, back = _both_ways(found, lo, hi)
     length = found.word_end[found.first[lo + 1 : hi + 1] - 1] - found.word_start[found.first[lo:hi]]
     short = (found.size[lo:hi] < LEAST_WORDS).tolist()
     skip = (found.size[lo:hi] < LEAST_WORDS) & (length < LEAST_CHARACTERS)
@@ -217,8 +229,8 @@ def _tell(found: Parts, k: int) -> Iterator[tuple[bytes, bytes]]:
         places.setdefault(data[16 * place : 16 * place + 16], []).append(place)
     for mark, where in places.items():
         p = where[0]
-        before = words[ends[p - 1] : ends[p]] if p else b""
-        after = words[ends[p + 1] : ends[p + 2]] if p + 2 < len(ends) else b""
+        before = back[p - 1] if p else b""
+        after = ahead[p + 1] if p + 1 < hi - lo else b""
         yield mark, _pack(short[p], np.array(where, "<u4").tobytes(), before, after)
 
 
@@ -228,7 +240,7 @@ def _tell(found: Parts, k: int) -> Iterator[tuple[bytes, bytes]]:
 
 class _Holder(NamedTuple):
     doc_id: object
-    doc: bytes
+    row: int
     told: bytes
 
 
@@ -242,9 +254,9 @@ class _Run:
         self.need = 1
 
     def add(self, holder: _Holder, emit) -> None:
-        if holder.doc == self.last:
+        if holder[:2] == self.last:
             return  # a repeated row
-        self.last, self.n = holder.doc, self.n + 1
+        self.last, self.n = holder[:2], self.n + 1
         if self.head is None:
             self.head, self.need = holder, LEAST_DOCS if holder.told[0] else 1
         if self.at_start:
@@ -269,16 +281,18 @@ def _stream(names: list[str]):
         now: _Run | None = None
 
         def emit(state, digest, holder, head, n) -> None:
-            if head is not None:
-                first = holder.doc == head.doc
-                if first and len(_unpack(holder.told)[1]) < 2:
-                    return  # the occurrence that stays, and no other
-                rows.append((state, digest, *holder, head.doc_id, head.told, first, n))
-            else:
-                rows.append((state, digest, *holder, None, None, None, n))
+            if state == "sum":
+                rows.append((state, digest, *holder, None, None, None, None, n))
+                return
+            short, places, _, _ = _unpack(holder.told)
+            if head is None:
+                rows.append((state, digest, *holder[:2], None, places.tobytes(), None, None, short, n))
+            elif holder[:2] != head[:2] or len(places) > 1:
+                # not the occurrence that stays, or not that alone
+                rows.append((state, None, *holder[:2], head.told, places.tobytes(), head.doc_id, holder[:2] == head[:2], None, n))
 
         def out() -> pa.RecordBatch:
-            kinds = (pa.string(), pa.binary(), id_type, pa.binary(), pa.binary(), id_type, pa.binary(), pa.bool_(), pa.int64())
+            kinds = (pa.string(), pa.binary(), id_type, pa.int64(), pa.binary(), pa.binary(), id_type, pa.bool_(), pa.bool_(), pa.int64())
             made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
             rows.clear()
             return made
@@ -309,9 +323,9 @@ def _stream(names: list[str]):
 
 
 def repeats(docs: DataFrame, unit: str = "line") -> DataFrame:
-    """``doc``, ``told`` (the part and its places), ``keeper`` and ``kept`` (the part that stays) and
-    ``spare_first`` (the first place is the one that stays). ``docs`` has ``doc_id, doc, text``."""
-    schema = T.StructType([T.StructField("digest", T.BinaryType()), docs.schema["doc_id"], docs.schema["doc"], T.StructField("told", T.BinaryType())])
+    """``doc_id``, ``row``, ``places`` (of a part), ``keeper`` and ``kept`` (the part that stays) and
+    ``spare_first`` (the first place is the one that stays). ``docs`` has ``doc_id, row, text``."""
+    schema = T.StructType([T.StructField("digest", T.BinaryType()), docs.schema["doc_id"], docs.schema["row"], T.StructField("told", T.BinaryType())])
 
     def list_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -327,19 +341,21 @@ def repeats(docs: DataFrame, unit: str = "line") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), batch.column(0).take(at), batch.column(1).take(at), pa.array(told, pa.binary())],
                                                  names=schema.names)
 
-    order = [F.col("digest"), F.col("doc_id").asc_nulls_last(), F.col("doc")]
+    order = [F.col("digest"), F.col("doc_id").asc_nulls_last(), F.col("row")]
     ranged = map_batches(docs, schema, list_parts).repartitionByRange(*order).sortWithinPartitions(*order)
-    out = T.StructType([T.StructField("state", T.StringType()), *schema.fields, T.StructField("keeper", docs.schema["doc_id"].dataType),
-                        T.StructField("kept", T.BinaryType()), T.StructField("spare_first", T.BooleanType()), T.StructField("n", T.LongType())])
+    out = T.StructType([T.StructField("state", T.StringType()), *schema.fields, T.StructField("places", T.BinaryType()),
+                        T.StructField("keeper", docs.schema["doc_id"].dataType), T.StructField("spare_first", T.BooleanType()),
+                        T.StructField("short", T.BooleanType()), T.StructField("n", T.LongType())])
     seen = staged(map_batches(ranged, out, _stream(out.names)), "units-seen")
     # at most two rows a range
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc", "told")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "told")
     heads = seen.where("state = 'sum'").groupBy("digest").agg(F.sum("n").alias("everywhere"), F.min(rank).alias("head"))
-    late = (seen.where("state = 'waits'").select("digest", "doc", "told").join(staged(heads, "units-heads"), "digest")
-            .where((F.substring("told", 1, 1) == F.unhex(F.lit("00"))) | (F.col("everywhere") >= LEAST_DOCS)))
-    first = F.col("doc") == F.col("head.doc")
-    late = late.select("doc", "told", F.col("head.doc_id").alias("keeper"), F.col("head.told").alias("kept"), first.alias("spare_first"))
-    return seen.where("state = 'gone'").select("doc", "told", "keeper", "kept", "spare_first").union(late)
+    late = (seen.where("state = 'waits'").select("digest", "doc_id", "row", "places", "short").join(staged(heads, "units-heads"), "digest")
+            .where(~F.col("short") | (F.col("everywhere") >= LEAST_DOCS)))
+    first = (F.col("row") == F.col("head.row")) & F.col("doc_id").eqNullSafe(F.col("head.doc_id"))
+    late = late.select("doc_id", "row", "places", F.col("head.doc_id").alias("keeper"), F.col("head.told").alias("kept"), first.alias("spare_first"))
+    told = seen.where("state = 'gone'").select("doc_id", "row", "places", "keeper", F.col("told").alias("kept"), "spare_first")
+    return told.union(late).where(~F.col("spare_first") | (F.octet_length("places") > 4))
 
 
 # ---------------------------------------------------------------------------------------------
@@ -352,14 +368,13 @@ class _Cut(NamedTuple):
     keeper: object
 
 
-def _matching(words: bytes, others: bytes, ahead: bool) -> int:
-    """How many words in a row are the same, from the start or from the end."""
-    n = min(len(words), len(others)) // _TELLING
-    for k in range(n):
-        a, b = (k * _TELLING, k * _TELLING) if ahead else (len(words) - (k + 1) * _TELLING, len(others) - (k + 1) * _TELLING)
-        if words[a : a + _TELLING] != others[b : b + _TELLING]:
-            return k
-    return n
+def _matching(words: bytes, others: bytes) -> int:
+    """How many words in a row are the same, by their chains."""
+    n = min(len(words), len(others))
+    for k in range(0, n, _TELLING):
+        if words[k : k + _TELLING] != others[k : k + _TELLING]:
+            return k // _TELLING * TOGETHER
+    return n // _TELLING * TOGETHER
 
 
 def cuts(found: Parts, k: int, gone: list[dict]) -> tuple[list[_Cut], set[int], int]:
@@ -367,21 +382,22 @@ def cuts(found: Parts, k: int, gone: list[dict]) -> tuple[list[_Cut], set[int],
     lo, hi = (int(x) for x in np.searchsorted(found.text, [k, k + 1]))
     keeper, beside = {}, {}
     for row in gone:
-        places = _unpack(row["told"])[1]
+        places = np.frombuffer(row["places"], "<u4")
         _, _, before, after = _unpack(row["kept"])
         for place in places[1 if row["spare_first"] else 0 :].tolist():
             keeper[place], beside[place] = row["keeper"], (before, after)
     out = {p: [_Cut(int(found.start[lo + p]), int(found.end[lo + p]), keeper[p])] for p in keeper}
+    chains = _both_ways(found, lo, hi) if keeper else ()
     for p in keeper:
         for q, ahead in ((p - 1, False), (p + 1, True)):
             if not 0 <= q < hi - lo or q in keeper or min(found.size[lo + p], found.size[lo + q]) < LEAST_WORDS:
                 continue  # short lines are told by their number alone
             a, b = int(found.first[lo + q]), int(found.first[lo + q + 1])
-            n = _matching(_telling(found.word_hash[a:b]), beside[p][ahead], ahead)
+            n = _matching(chains[not ahead][q], beside[p][ahead])
             start, end = int(found.start[lo + q]), int(found.end[lo + q])
             if n < b - a:
                 start, end = (start, int(found.word_start[a + n])) if ahead else (int(found.word_start[b - n]), end)
-            if n >= LEAST_BESIDE or n == b - a:
+            if n:
                 out.setdefault(q, []).append(_Cut(start, end, keeper[p]))
     pieces, whole, left = [], 0, set()
     for q in range(hi - lo):
@@ -433,11 +449,12 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", unit: str
     wanted = ("n_units", "n_removed", "removed", "original_words")
     names = dict(zip(wanted, fresh(docs.columns, *wanted), strict=True))
     id_type = docs.schema[doc_id].dataType
-    light = docs.where(col(text).isNotNull()).select(col(doc_id).alias("doc_id"), row_key(col(doc_id), col(text)).alias("doc"), col(text).alias("text"))
-    gone = repeats(light, unit).groupBy("doc").agg(F.collect_list(F.struct("told", "keeper", "kept", "spare_first")).alias("gone"))
-    key, found_gone = fresh([*docs.columns, *names.values()], "row_key", "gone")
-    keyed = docs.withColumn(key, row_key(col(doc_id), col(text)))
-    joined = keyed.join(gone.select(F.col("doc").alias(key), F.col("gone").alias(found_gone)), key, "left").select(*map(col, docs.columns), col(found_gone))
+    row = F.xxhash64(col(text))
+    light = docs.where(col(text).isNotNull()).select(col(doc_id).alias("doc_id"), row.alias("row"), col(text).alias("text"))
+    gone = repeats(light, unit).groupBy("doc_id", "row").agg(F.collect_list(F.struct("places", "keeper", "kept", "spare_first")).alias("gone"))
+    key, gone_id, found_gone = fresh([*docs.columns, *names.values()], "row_key", "gone_id", "gone")
+    gone = gone.select(F.col("doc_id").alias(gone_id), F.col("row").alias(key), F.col("gone").alias(found_gone))
+    joined = docs.join(gone, col(doc_id).eqNullSafe(col(gone_id)) & (row == col(key)), "left").select(*map(col, docs.columns), col(found_gone))
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("keeper", id_type)])
     types = (T.LongType(), T.LongType(), T.ArrayType(span), T.BooleanType())
     at, at_id, width = docs.columns.index(text), docs.columns.index(doc_id), len(docs.columns)
