@@ -14,6 +14,7 @@ from pathlib import Path
 from xml.sax.saxutils import escape
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -338,8 +339,8 @@ def file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         key.alias("p_partkey"), (key % 7).cast("int").alias("blank"))
 
 
-def _workbook(cells: list, blank: int) -> bytes:
-    """A workbook of three head lines, blank rows and one vehicle; its first sheet is the second file."""
+def _book(lines: list[tuple[int, list]]) -> bytes:
+    """A workbook of the given row numbers (from 1) and cell texts; its first sheet is the second file."""
     def letters(index: int) -> str:
         out, index = "", index + 1
         while index:
@@ -347,12 +348,14 @@ def _workbook(cells: list, blank: int) -> bytes:
             out = chr(65 + rest) + out
         return out
 
-    def row(number: int, values) -> str:
+    names = [letters(i) for i in range(max((len(v) for _, v in lines), default=0))]
+
+    def row(number: int, values: list) -> str:
         parts = []
-        for at, value in values:
+        for name, value in zip(names, values):
             if value is None:
                 continue
-            ref = f"{letters(at)}{number}"
+            ref = f"{name}{number}"
             if value.isascii() and value.isdigit() and value[0] != "0":
                 parts.append(f'<c r="{ref}"><v>{value}</v></c>')
             else:
@@ -360,34 +363,42 @@ def _workbook(cells: list, blank: int) -> bytes:
                 parts.append(f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{body}</t></is></c>')
         return f'<row r="{number}">{"".join(parts)}</row>'
 
-    titles = [(start, title) for _, title, start in SALES_BLOCKS.values()]
-    names = [(0, "VR-ID"), *((start + i, m.upper()) for _, _, start in SALES_BLOCKS.values() for i, m in enumerate(MONTHS))]
-    lines = [row(1, [(0, "COMPANY")]), row(2, titles), row(3, names), row(4 + blank, enumerate(cells))]
     main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
     parts = {
         "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="r"><sheets><sheet name="b" r:id="i2"/><sheet name="a" r:id="i1"/></sheets></workbook>',
         "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="i1" Target="worksheets/sheet1.xml"/>'
                                       '<Relationship Id="i2" Target="worksheets/sheet2.xml"/></Relationships>',
         "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{main}"><sheetData/></worksheet>',
-        "xl/worksheets/sheet2.xml": f'<worksheet xmlns="{main}"><sheetData>{"".join(lines)}</sheetData></worksheet>',
+        "xl/worksheets/sheet2.xml": f'<worksheet xmlns="{main}"><sheetData>{"".join(row(*line) for line in lines)}</sheetData></worksheet>',
     }
     out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as book:
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
         for name, text in parts.items():
             book.writestr(name, text)
     return out.getvalue()
 
 
-def _csv_file(cells: list, blank: int) -> bytes:
-    """A CSV file: a record over two lines, blank lines, and a vehicle with two cells too many."""
-    titles, names = [""] * SHEET_WIDTH, [""] * SHEET_WIDTH
+def _head() -> tuple[list, list]:
+    """The block titles and the names below them."""
+    titles, names = [None] * SHEET_WIDTH, [None] * SHEET_WIDTH
     names[0] = "VR-ID"
     for _, title, start in SALES_BLOCKS.values():
         titles[start] = title
         names[start : start + len(MONTHS)] = [m.upper() for m in MONTHS]
+    return titles, names
+
+
+def _workbook(cells: list, blank: int) -> bytes:
+    """A workbook of three head lines, blank rows and one vehicle."""
+    titles, names = _head()
+    return _book([(1, ["COMPANY"]), (2, titles), (3, names), (4 + blank, cells)])
+
+
+def _csv_file(cells: list, blank: int) -> bytes:
+    """A CSV file: a record over two lines, blank lines, and a vehicle with two cells too many."""
     out = io.StringIO()
     writer = csv.writer(out)
-    writer.writerows([["COMPANY", "of two\nlines"], titles, names])
+    writer.writerows([["COMPANY", "of two\nlines"], *_head()])
     out.write("\r\n" * blank)
     writer.writerow([*(c or "" for c in cells), "more", "cells"])
     return out.getvalue().encode()
@@ -412,3 +423,49 @@ def workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir, _csv_file)
+
+
+def sheet_workbooks(sheets: DataFrame) -> DataFrame:
+    """``path`` and ``content`` of one workbook for each sheet of ``path, row_idx, cells``. Every
+    second year's workbooks have twenty rows of remarks for each row, so that files differ much in
+    length."""
+    def make(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("row_idx")
+        lines = [(int(n) + 1, list(c)) for n, c in zip(rows["row_idx"], rows["cells"])]
+        path = rows["path"].iloc[0]
+        if int(path.split("/")[0]) % 2:
+            lines += [(lines[-1][0] + 1 + k, [None, f"remark {k}"]) for k in range(20 * len(lines))]
+        return pd.DataFrame({"path": [path], "content": [_book(lines)]})
+
+    ship(sheets.sparkSession)
+    ship(sheets.sparkSession, Path(__file__).parent)
+    return sheets.groupBy("path").applyInPandas(make, "path string, content binary")
+
+
+def land(files: DataFrame, root: str) -> int:
+    """Write files, ``path`` and ``content``, below ``root``; their number."""
+    home, folder = fs.FileSystem.from_uri(root if "://" in root else f"file://{root.removeprefix('file:')}")
+
+    def write(batches):
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                home.create_dir(f"{folder}/{path.rsplit('/', 1)[0]}", recursive=True)
+                with home.open_output_stream(f"{folder}/{path}") as stream:
+                    stream.write(content)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return files.mapInPandas(write, "n bigint").agg(F.sum("n")).first()[0] or 0
+
+
+def damaged_workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``path`` and ``content`` of workbooks cut off in the middle, one for every 50th part."""
+    parts = read(spark, sf_dir, "part").filter("p_partkey % 50 = 0").select(
+        F.concat(F.lit("1999/"), _text(F.col("p_partkey")), F.lit(".xlsx")).alias("path"), F.col("p_name").alias("name"))
+
+    def cut(batches):
+        for batch in batches:
+            made = [_book([(1, ["COMPANY", name])]) for name in batch["name"]]
+            yield pd.DataFrame({"path": batch["path"], "content": [m[: len(m) // 2] for m in made]})
+
+    ship(spark, Path(__file__).parent)
+    return parts.mapInPandas(cut, "path string, content binary")

@@ -465,7 +465,8 @@ on_wide("zero_fill", "SELECT vr_id, model, year, sales_type, month, sales FROM f
 on_wide("ingest_rejects", """
 SELECT vr_id, year, sales_type, month, value FROM cell
 WHERE value IS NOT NULL AND TRY_CAST(trim(value, concat(chr(9), chr(160), ' ', chr(13), chr(10))) AS DOUBLE) IS NULL""")
-on_wide("ingest_detail", f"""
+for _name in ("ingest_detail", "ingest_folder"):
+    on_wide(_name, f"""
 SELECT upper(replace(brand, '#', '_')) AS brand, segment, model, month, sales_type, sales, year,
   false AS is_summary, CAST(15 + p_partkey - year % 5 AS BIGINT) AS row_index, vr_id, {_SPECS}
 FROM filled""")
@@ -488,15 +489,16 @@ SELECT (SELECT string_agg(DISTINCT file_brand, ',' ORDER BY file_brand) FROM she
   (SELECT count(DISTINCT path) FROM sheet) + (SELECT count(*) FROM part WHERE p_partkey % 50 = 0)
     AS files_processed,
   (SELECT count(*) FROM part WHERE p_partkey % 50 = 0) AS unreadable_files,
-  (SELECT string_agg(concat(p, ' BadZipFile: cut'), ',' ORDER BY p) FROM (
+  (SELECT string_agg(concat(p, ' BadZipFile: File is not a zip file'), ',' ORDER BY p) FROM (
     SELECT concat('1999/', CAST(p_partkey AS VARCHAR), '.xlsx') AS p FROM part
     WHERE p_partkey % 50 = 0 ORDER BY p LIMIT 5)) AS problems,
   (SELECT count(*) FROM cell WHERE value IS NOT NULL AND TRY_CAST(trim(value, concat(chr(9), chr(160), ' ', chr(13), chr(10))) AS DOUBLE) IS NULL)
     AS rejected_cells""")
 _UPDATED = """
 , fact AS (SELECT upper(replace(brand, '#', '_')) AS brand, year, sales_type, sales FROM filled"""
-for _name, _left in (("incremental_update", """
-WHERE NOT (brand LIKE '%3' AND year = 1997) AND NOT (brand LIKE '%4' AND year = 1999))"""),
+_CURRENT = """
+WHERE NOT (brand LIKE '%3' AND year = 1997) AND NOT (brand LIKE '%4' AND year = 1999))"""
+for _name, _left in (("incremental_update", _CURRENT), ("incremental_workbooks", _CURRENT),
                      ("incremental_update_stream", ")")):
     on_wide(_name, _UPDATED + _left + "," + TOTALS.split("master AS")[0].rstrip().rstrip(",")
             + "\nSELECT * FROM total")

@@ -12,12 +12,20 @@ from saleslens.functions import scalars as sc
 from saleslens.operators import filters, profile, quality, questions, ranking, reshape, shapes
 from saleslens.operators import sheet, views
 from saleslens.operators.totals import totals, with_totals
-from saleslens.plans.build import detail_from_sheets, run_record, stage
+from saleslens.plans.build import detail_from_sheets, detail_from_workbooks, run_record, stage
 from saleslens.plans.run import run
 from saleslens.plans.tables import SalesTables
 from saleslens.session import shared_dir
 from saleslens.sources import warehouse
-from saleslens.sources.workbooks import decode_csv, decode_workbooks, path_keys, unreadable
+from saleslens.sources.workbooks import (
+    decode_csv,
+    decode_workbooks,
+    list_workbooks,
+    path_keys,
+    read_listed,
+    relative_path,
+    unreadable,
+)
 from saleslens.streaming.update import update, update_stream
 
 from . import facts
@@ -151,12 +159,10 @@ def ingest_problems(spark, sf_dir):
 
 @register
 def run_metadata(spark, sf_dir):
-    """What a build over the sheets reports about itself."""
+    """What a build over the sheets, and over workbooks that are cut off, reports about itself."""
     sheets = stage(facts.sheet_cells(spark, sf_dir), shared_dir(spark, "sheets"))
     detail = detail_from_sheets(sheets, brands=_all_file_brands(spark, sf_dir))
-    damaged = facts.read(spark, sf_dir, "part").filter("p_partkey % 50 = 0").select(
-        F.concat(F.lit("1999/"), F.col("p_partkey").cast("string"), F.lit(".xlsx")).alias("path"),
-        F.lit(-1).cast("bigint").alias("row_idx"), F.array(F.lit("BadZipFile: cut")).alias("cells"))
+    damaged = decode_workbooks(facts.damaged_workbooks(spark, sf_dir))
     record = run_record(with_totals(detail), sheets.drop("first_cell").unionByName(damaged), "2025-01-01T00:00:00")
     problems = F.transform("problems", lambda p: F.concat_ws(" ", p["path"], p["reason"]))
     return record.withColumn("brands_processed", F.array_join("brands_processed", ",")).withColumn(
@@ -701,6 +707,42 @@ def incremental_update(spark, sf_dir):
     return warehouse.load(spark, root).totals
 
 
+@register
+def ingest_folder(spark, sf_dir):
+    """A folder of workbooks, of very different lengths, to the fact table."""
+    landing = shared_dir(spark, "landing")
+    facts.land(facts.sheet_workbooks(facts.sheet_cells(spark, sf_dir)), landing)
+    return detail_from_workbooks(spark, landing, brands=_all_file_brands(spark, sf_dir))
+
+
+@register
+def incremental_workbooks(spark, sf_dir):
+    """The deliveries of ``incremental_update`` as a folder of workbooks. Each update opens the
+    files that changed, and no others."""
+    landing, root = shared_dir(spark, "landing"), shared_dir(spark, "tables")
+    brands = _all_file_brands(spark, sf_dir)
+
+    def take():
+        files = list_workbooks(spark, landing)
+        listed = path_keys(files.withColumn("rel", relative_path(F.col("path"), landing)), brands, "rel")
+        return update(spark, listed, root, ingest)
+
+    def ingest(files):
+        sheets = read_listed(spark, landing, files).withColumn("path", relative_path(F.col("path"), landing))
+        return detail_from_sheets(stage(sheets, shared_dir(spark, "sheets")), brands=brands)
+
+    for whole in (False, True):
+        facts.land(facts.sheet_workbooks(_delivery(spark, sf_dir, whole).drop("year", "brand")), landing)
+        take()
+    gone = list_workbooks(spark, landing).filter(F.col("path").rlike(r"/1997/[^/]*3\.xlsx$"))
+    for row in gone.select("path").collect():
+        warehouse.delete_folder(spark, row.path)
+    emptied = (F.col("year") == 1999) & F.col("brand").endswith("4") & (F.col("row_idx") < 20)
+    facts.land(facts.sheet_workbooks(_delivery(spark, sf_dir, True).filter(emptied).drop("year", "brand")), landing)
+    take()
+    return warehouse.load(spark, root).totals
+
+
 @register
 def incremental_update_stream(spark, sf_dir):
     """The first two deliveries under new names, taken in by a streaming source. Each comes in two
