@@ -21,6 +21,19 @@ def aggregate(name, column: str | Column) -> Column:
     return AGGREGATES[name](column)
 
 
+def states(column: str) -> list[Column]:
+    """What rows of a group are kept as, so that groups can be merged: sum, number, least, most."""
+    return [F.sum(column).cast("bigint").alias("sales"), F.count(column).alias("n"),
+            F.min(column).alias("low"), F.max(column).alias("high")]
+
+
+def merged(name: str) -> Column:
+    """The aggregate of that name over groups kept as ``states``."""
+    if name in ("avg", "mean"):
+        return F.sum("sales") / F.nullif(F.sum("n"), F.lit(0))
+    return {"sum": F.sum("sales"), "count": F.sum("n"), "min": F.min("low"), "max": F.max("high")}[name]
+
+
 def with_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows that have all the keys."""
     for key in keys:

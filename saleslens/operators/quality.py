@@ -23,6 +23,7 @@ from ..constants import (
     TECHNICAL_COLUMNS,
 )
 from ..functions.text import issue_advice
+from ..session import shared_dir
 from .profile import mean_null_share
 from .questions import with_intent, with_second_opinion
 
@@ -63,25 +64,40 @@ def cross_references(results: dict[str, DataFrame], sales: DataFrame, specs: Dat
     Each table is read once, for its rows per brand; a few rows per brand then answer for all
     results. A brand without a name is unknown wherever it stands.
     """
-    def tally(df: DataFrame, name: str, answer: str | None = None) -> DataFrame:
-        return df.groupBy("brand").agg(F.count(F.lit(1)).alias("n")).select(
-            F.lit(answer).alias("answer"), F.lit(name).alias("what"), "brand", "n")
+    counted = _tally(sales, "sales").unionAll(_tally(specs, "specs"))
+    return _references(_with_results(counted, results, expected), results)
 
-    counted = tally(sales, "sales").unionAll(tally(specs, "specs"))
+
+def _tally(df: DataFrame, name: str, answer: str | None = None, brand: str | None = "brand") -> DataFrame:
+    """Rows and null cells per brand, or of the whole table where ``brand`` is none."""
+    nulls = [F.col(c).isNull().cast("bigint") for c in df.columns] if answer is not None else []
+    counts = [F.count(F.lit(1)).alias("n"), F.sum(sum(nulls, F.lit(0))).cast("bigint").alias("n_nulls")]
+    counted = df.groupBy(brand).agg(*counts) if brand else df.agg(*counts)
+    return counted.select(F.lit(answer).alias("answer"), F.lit(name).alias("what"),
+                          (F.col(brand) if brand else F.lit(None)).cast("string").alias("brand"), "n", "n_nulls")
+
+
+def _with_results(counted: DataFrame, results: dict[str, DataFrame], expected: DataFrame | None) -> DataFrame:
+    """The tallies of the tables, of what was recorded, and of each result: one pass over each."""
     if expected is not None:
         counted = counted.unionAll(expected.select(
             F.lit(None).cast("string"), F.lit("expected"), F.lit(None).cast("string"),
-            F.col("sales_records").cast("bigint")))
+            F.col("sales_records").cast("bigint"), F.lit(None).cast("bigint")))
     for answer, result in results.items():
-        if "brand" in result.columns:
-            counted = counted.unionAll(tally(result, "result", answer))
+        counted = counted.unionAll(
+            _tally(result, "result", answer) if "brand" in result.columns else _tally(result, "other", answer, None))
+    return counted
 
+
+def _references(counted: DataFrame, answers) -> DataFrame:
+    """The cross references from tallies per brand."""
     def of(name: str) -> Column:
         return F.sum(F.when(F.col("what") == name, F.col("n")))
 
     per_brand = counted.groupBy("brand").agg(
         *(of(name).alias(name) for name in ("sales", "specs", "expected")),
-        F.collect_set("answer").alias("answers"))  # at most the number of results
+        # at most the number of results
+        F.collect_set(F.when(F.col("what") == "result", F.col("answer"))).alias("answers"))
     known = F.col("brand").isNotNull() & (F.col("sales").isNotNull() | F.col("specs").isNotNull())
 
     def unknown(answer: str) -> Column:
@@ -92,7 +108,7 @@ def cross_references(results: dict[str, DataFrame], sales: DataFrame, specs: Dat
         F.coalesce(F.sum("specs"), F.lit(0)).alias("specs_records"),
         F.sum("expected").alias("recorded"),
         F.array(*(F.struct(F.lit(a).alias("answer"), unknown(a).alias("unknown_brands"))
-                  for a in results)).alias("found"),
+                  for a in answers)).alias("found"),
     )
     recorded = F.coalesce("recorded", "sales_records")
     filled = (F.col("sales_records") > 0) & (F.col("specs_records") > 0)
@@ -114,24 +130,54 @@ def cross_references(results: dict[str, DataFrame], sales: DataFrame, specs: Dat
     )
 
 
+def answer_tallies(results: dict[str, DataFrame], tables, expected: DataFrame | None = None) -> DataFrame:
+    """What the checks of several answers need of the data, as a small written table: rows per brand
+    of the tables, and rows and null cells per brand of each result.
+
+    Each result is read once. Specifications that are not stored are a projection of the sales
+    rows, so these rows stand for both: a brand is in one where it is in the other, and no row is
+    in neither.
+    """
+    counted = _tally(tables.sales_only, "sales")
+    if tables.has_stored("specs_only"):
+        counted = counted.unionAll(_tally(tables.specs_only, "specs"))
+    counted = _with_results(counted, results, expected)
+    folder = shared_dir(counted.sparkSession, "tallies")
+    counted.coalesce(1).write.parquet(folder)
+    counted = counted.sparkSession.read.schema(counted.schema).parquet(folder)
+    if tables.has_stored("specs_only"):
+        return counted
+    return counted.unionAll(counted.filter("what = 'sales'").withColumn("what", F.lit("specs")))
+
+
 def answer_checks(answers: dict, tables, expected: DataFrame | None = None,
                   compat: bool = False) -> DataFrame:
     """The checks of several answers that do not depend on the question's words.
 
-    ``answers`` are pairs of spec and result by name; the rows are ``answer`` and a check each.
+    ``answers`` are pairs of spec and result by name; the rows are ``answer`` and a check each. The
+    data is read here, once for each answer; what is returned reads the tallies only.
     """
     from ..plans.run import source_name
     from ..plans.spec import QuerySpec
 
     specs = {name: QuerySpec.of(spec) for name, (spec, _) in answers.items()}
     results = {name: result for name, (_, result) in answers.items()}
-    out = cross_references(results, tables.sales_only, tables.specs_only, expected).select(
-        "answer", *CHECK)
+    counted = answer_tallies(results, tables, expected)
+    # what is known of an answer by its names and types
+    known = F.array(*(F.struct(
+        F.lit(name).alias("answer"), F.lit(len(result.columns)).alias("width"),
+        F.lit(has_required_columns(result.columns, specs[name].intent)).alias("required"),
+        F.lit(_has_numbers(result)).alias("numeric")) for name, result in results.items()))
+    totals = counted.filter(F.col("answer").isNotNull()).groupBy("answer").agg(
+        F.sum("n").alias("record_count"), F.sum("n_nulls").alias("n_nulls"))
+    facts = counted.sparkSession.range(1).select(F.inline(known)).join(totals, "answer", "left").select(
+        "answer", "required", "numeric", F.coalesce("record_count", F.lit(0)).alias("record_count"),
+        (F.col("n_nulls") / F.nullif(F.col("record_count") * F.col("width"), F.lit(0))).alias("null_share"))
+    out = _references(counted, results).select("answer", *CHECK)
+    out = out.unionByName(_completeness(facts, F.col("required"), F.col("numeric"), ("answer",)).select("answer", *CHECK))
     for name, result in results.items():
-        spark = result.sparkSession
-        for check in (source_check(spark, source_name(specs[name], compat), result.columns),
-                      completeness(result, specs[name].intent)):
-            out = out.unionByName(check.select(F.lit(name).alias("answer"), *CHECK))
+        check = source_check(result.sparkSession, source_name(specs[name], compat), result.columns)
+        out = out.unionByName(check.select(F.lit(name).alias("answer"), *CHECK))
     return out
 
 
@@ -159,28 +205,36 @@ def has_required_columns(columns: list[str], intent: str) -> bool:
     return len(columns) > 1
 
 
+def _has_numbers(result: DataFrame) -> bool:
+    return any(isinstance(f.dataType, T.NumericType) for f in result.schema.fields)
+
+
 def completeness(result: DataFrame, intent: str = "general") -> DataFrame:
     """One row: the completeness check of a result. Rows and nulls are counted in one pass."""
-    required = has_required_columns(result.columns, intent)
-    numeric = any(isinstance(f.dataType, T.NumericType) for f in result.schema.fields)
     shares = result.agg(
         F.count(F.lit(1)).alias("record_count"),
         mean_null_share(result.columns).alias("null_share"),
     )
+    return _completeness(shares, F.lit(has_required_columns(result.columns, intent)), F.lit(_has_numbers(result)))
+
+
+def _completeness(shares: DataFrame, required: Column, numeric: Column, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The check from ``record_count`` and ``null_share``."""
     filled = F.col("record_count") > 0
     few_nulls = F.col("null_share") < NULL_SHARE_LIMIT
     score = (
-        F.lit(0.4) + F.lit(0.3 if required else 0.0)
-        + F.when(few_nulls, 0.2).otherwise(0.0) + F.lit(0.1 if numeric else 0.0)
+        F.lit(0.4) + F.when(required, 0.3).otherwise(0.0)
+        + F.when(few_nulls, 0.2).otherwise(0.0) + F.when(numeric, 0.1).otherwise(0.0)
     )
     # tenths are added up; rounding keeps 0.7 from falling below itself
     score = F.round(F.when(filled, score).otherwise(0.0), 6)
     return shares.select(
+        *keys,
         F.lit("result_completeness").alias("check_type"),
         "record_count",
-        F.lit(required).alias("has_required_columns"),
+        required.alias("has_required_columns"),
         (1.0 - F.col("null_share")).alias("data_quality_score"),
-        F.lit(numeric).alias("has_numeric_data"),
+        numeric.alias("has_numeric_data"),
         score.alias("score"),
         (score >= 0.7).alias("passed"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import MONTHS, TECH_SPEC_KEYS
 from ..functions.scalars import month_number
 from ..operators.filters import apply_filters, column_for, is_total_segment
-from ..operators.grouping import aggregate, group_by
+from ..operators.grouping import aggregate, group_by, merged
 from ..operators.ranking import top_models
 from .spec import QuerySpec
 from .tables import SalesTables
@@ -36,12 +36,15 @@ def source(spec: QuerySpec, tables: SalesTables, compat: bool = False) -> DataFr
     df = tables[name]
     if name == "summary":
         return df.filter(is_total_segment(F.col("segment")))
-    # The stored roll-up holds the same sums in far fewer rows.
+    return tables.stored["rollup"] if reads_rollup(spec, tables, compat) else df
+
+
+def reads_rollup(spec: QuerySpec, tables: SalesTables, compat: bool = False) -> bool:
+    """Whether the stored roll-up answers a query of vehicle rows: it holds sums, numbers and
+    extremes of the same rows, by month and segment, in far fewer rows."""
     months_only = not (spec.model or any(spec.technical_filters.values()))
-    if (name == "detailed" and not spec.is_specification and months_only
-            and spec.aggregation == "sum" and tables.has_stored("rollup")):
-        return tables.stored["rollup"]
-    return df
+    return (source_name(spec, compat) == "detailed" and not spec.is_specification and months_only
+            and tables.has_stored("rollup"))
 
 
 def _default_keys(spec: QuerySpec) -> list[str]:
@@ -98,7 +101,10 @@ def run(query, tables: SalesTables, *, compat: bool = False, literal: bool = Fal
             return top_models(df, top)
         return group_by(df, ["brand", "segment"],
                         aggregate(spec.aggregation, "sales").alias("sales"))
-    sales = aggregate(spec.aggregation, "sales").alias("sales")
+    if reads_rollup(spec, tables, compat):
+        sales = merged(spec.aggregation).alias("sales")
+    else:
+        sales = aggregate(spec.aggregation, "sales").alias("sales")
     if spec.operation == "comparison":
         return group_by(df, _default_keys(spec), sales)
     if spec.operation == "technical_analysis":

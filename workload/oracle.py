@@ -135,6 +135,22 @@ listed AS (
 )
 SELECT table_name, count(*) AS n_rows, count(DISTINCT brand) AS brands,
   CAST(sum(sales) AS BIGINT) AS sales FROM listed GROUP BY table_name""")
+_AGGREGATES = "\n  UNION ALL\n  ".join(
+    f"""SELECT '{name}' AS question, brand, sales_type, month, CAST({name}(sales) AS DOUBLE) AS sales FROM figures
+  WHERE month IN ('jan', 'jul') AND segment IN ('ECONOMY', 'PROMO') GROUP BY ALL"""
+    for name in ("sum", "avg", "count", "min", "max"))
+on_fact("stored_aggregates", f"""
+, figures AS (
+  SELECT CASE WHEN p_partkey % 5 = 0 THEN concat('00', CAST(p_partkey % 3 AS VARCHAR)) ELSE brand END
+      AS brand, CASE WHEN p_partkey % 7 > 0 THEN segment END AS segment,
+    CASE WHEN p_partkey % 11 > 0 THEN month END AS month, sales_type,
+    CASE WHEN p_partkey % 13 > 0 THEN sales END AS sales FROM fact
+),
+asked AS (
+  {_AGGREGATES}
+)
+SELECT source, question, brand, sales_type, month, round(sales, 6) AS sales
+FROM asked CROSS JOIN (VALUES ('stored'), ('derived')) AS s(source)""")
 on_fact("stored_equals_derived", """
 , odd AS (
   SELECT CASE WHEN p_partkey % 5 = 0 THEN concat('00', CAST(p_partkey % 3 AS VARCHAR)) ELSE brand END

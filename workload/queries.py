@@ -269,16 +269,21 @@ def export_roundtrip(spark, sf_dir):
     return out
 
 
-@register
-def stored_equals_derived(spark, sf_dir):
-    """The same questions of written and of derived tables, over facts with null segments and
-    months and with brands that look like numbers."""
+def _odd_detail(spark, sf_dir):
+    """Facts with null segments and months, some without sales, and brands that look like numbers."""
     key = F.substring("vr_id", 3, 8).cast("int")
-    detail = facts.detail(spark, sf_dir).withColumns({
+    return facts.detail(spark, sf_dir).withColumns({
         "brand": F.when(key % 5 == 0, F.concat(F.lit("00"), (key % 3).cast("string"))).otherwise(F.col("brand")),
         "segment": F.when(key % 7 > 0, F.col("segment")),
         "month": F.when(key % 11 > 0, F.col("month")),
     })
+
+
+@register
+def stored_equals_derived(spark, sf_dir):
+    """The same questions of written and of derived tables, over facts with null segments and
+    months and with brands that look like numbers."""
+    detail = _odd_detail(spark, sf_dir)
     stored = warehouse.save(spark, detail, shared_dir(spark, "stored"))
     out = None
     for source, tables in (("stored", stored), ("derived", SalesTables(detail))):
@@ -290,6 +295,24 @@ def stored_equals_derived(spark, sf_dir):
     return out
 
 
+@register
+def stored_aggregates(spark, sf_dir):
+    """All five aggregations by month and segment, from the stored roll-up and from facts; some
+    facts have no figure."""
+    key = F.substring("vr_id", 3, 8).cast("int")
+    detail = _odd_detail(spark, sf_dir).withColumn("sales", F.when(key % 13 > 0, F.col("sales")))
+    stored = warehouse.save(spark, detail, shared_dir(spark, "stored"))
+    out = None
+    for source, tables in (("stored", stored), ("derived", SalesTables(detail))):
+        for name in ("sum", "avg", "count", "min", "max"):
+            spec = {"aggregation": name, "months": ["jan", "jul"], "segments": ["ECONOMY", "PROMO"]}
+            row = run(spec, tables).select(
+                F.lit(source).alias("source"), F.lit(name).alias("question"), "brand", "sales_type", "month",
+                F.round(F.col("sales").cast("double"), 6).alias("sales"))
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
 # --- filters ------------------------------------------------------------------------------
 
 def _by_brand(df):
