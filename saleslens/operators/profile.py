@@ -9,6 +9,12 @@ from ..constants import DISTRIBUTION_COLUMNS, SALES_TYPES
 from .filters import column_for
 from .grouping import with_keys
 
+# Columns whose distinct values are kept as sketches, the bits of a sketch's buckets, and its error.
+SKETCHED = ["segment", "model", "month", "sales_type", "vr_id", "cc", "tank"]
+SKETCH_BITS = 12
+SKETCH_ERROR = 1.04 / 2 ** (SKETCH_BITS / 2)
+# A frequency sketch of so many items may lose values of up to this many rows for each item's share.
+TOP_K_ERROR = 3.5
 CATALOGUE_COLUMNS = ["brand", "sales_type", "month", "segment", "year"]
 
 
@@ -46,6 +52,40 @@ def distinct_counts(df: DataFrame, columns: list[str], approximate: bool = False
     return df.agg(*[count(c).alias(c) for c in columns])
 
 
+def sketches(df: DataFrame, columns: list[str] = SKETCHED) -> DataFrame:
+    """Per (year, brand), a sketch of the distinct values of each column: of bounded size, and
+    mergeable over any years and brands. Nulls are left out."""
+    return df.groupBy("year", "brand").agg(*[F.hll_sketch_agg(c, F.lit(SKETCH_BITS)).alias(c) for c in columns])
+
+
+def merged_distinct_counts(sketched: DataFrame, columns: list[str]) -> DataFrame:
+    """``distinct_counts`` from sketches, with a relative standard error of ``SKETCH_ERROR``; few
+    values are counted as they are."""
+    return sketched.agg(*[
+        F.coalesce(F.hll_sketch_estimate(F.hll_union_agg(c)), F.lit(0)).alias(c) for c in columns])
+
+
+def top_values(df: DataFrame, column: str, k: int = 10, tracked: int = 10_000) -> DataFrame:
+    """The ``k`` most frequent values of a column, ``value`` and ``n_rows``; equal counts by value.
+
+    A sketch of ``tracked`` items names the candidates in one pass without a shuffle of values, a
+    second pass counts them. A value that the sketch lost is rarer than its error, so the counts
+    hold if the ``k``-th is above that, or if they make up all rows; if not, all values are counted.
+    """
+    source = column_for(df, column) or column
+    values = df.select(F.col(source).cast("string").alias("value")).filter(F.col("value").isNotNull())
+    row = values.agg(F.count(F.lit(1)).alias("n"), F.transform(
+        F.expr(f"approx_top_k(value, {tracked}, {tracked})"), lambda c: c["item"]).alias("items")).first()
+    # at most ``tracked`` groups
+    found = values.filter(F.col("value").isin(row["items"] or [])).groupBy("value").agg(
+        F.count(F.lit(1)).alias("n_rows")).collect()
+    first = sorted(found, key=lambda r: (-r.n_rows, r.value))[:k]
+    complete = sum(r.n_rows for r in found) == row["n"]
+    if complete or (len(first) == k and first[-1].n_rows > TOP_K_ERROR * row["n"] / tracked):
+        return df.sparkSession.createDataFrame(first, "value string, n_rows bigint")
+    return values.groupBy("value").agg(F.count(F.lit(1)).alias("n_rows")).orderBy(F.desc("n_rows"), "value").limit(k)
+
+
 def result_stats(df: DataFrame) -> DataFrame:
     """One row: total, number, mean and maximum of sales, and the distinct brands and types.
 

@@ -7,7 +7,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from ..constants import TABLE_NAMES
-from ..operators import views
+from ..operators import profile, views
+from ..operators.filters import keep_in
 from ..operators.totals import totals, with_totals
 
 
@@ -18,7 +19,7 @@ class SalesTables:
     """
 
     def __init__(self, detail: DataFrame, **stored: DataFrame):
-        unknown = set(stored) - {*TABLE_NAMES, "totals", "rollup"}
+        unknown = set(stored) - {*TABLE_NAMES, "totals", "rollup", "sketches"}
         if unknown:
             raise ValueError(f"not tables of the model: {sorted(unknown)}")
         self.detail = detail
@@ -61,6 +62,15 @@ class SalesTables:
         """What a question reads when nothing in it asks for more: the TOTAL rows."""
         return self.summary
 
+    def distinct_counts(self, columns: list[str], years: list[int] | None = None, brands: list[str] | None = None,
+                        exact: bool = False) -> DataFrame:
+        """The number of distinct values of columns in vehicle rows of some years and brands: from the
+        stored sketches, where they have the columns (see ``profile.SKETCH_ERROR``), or exactly."""
+        stored = not exact and self.has_stored("sketches") and set(columns) <= set(profile.SKETCHED)
+        rows = self.stored["sketches"] if stored else self.detail
+        rows = keep_in(keep_in(rows, "year", years or []), "brand", brands or [])
+        return profile.merged_distinct_counts(rows, columns) if stored else profile.distinct_counts(rows, columns)
+
     def has_stored(self, name: str) -> bool:
         return name in self.stored
 

@@ -138,3 +138,44 @@ def test_master_has_nulls_on_totals_only(make_fact):
     master = with_totals(make_fact({}))
     row = quality.completeness(master).first()
     assert row.data_quality_score == pytest.approx(1 - 5 / (2 * 23))
+
+
+def test_top_values_fall_back_to_counting(spark):
+    from saleslens.operators import profile
+
+    rows = spark.range(3000).selectExpr("CAST(CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS STRING) AS model")
+    for tracked in (2, 50, 10_000):  # too few items to prove the second value, or all of them
+        got = [(r.value, r.n_rows) for r in profile.top_values(rows, "model", 2, tracked).collect()]
+        assert got == [("7", 1000 + 1), ("1", 1)]
+    assert profile.top_values(rows.limit(0), "model").count() == 0
+
+
+def test_sketches_merge_and_leave_nulls_out(spark, make_fact):
+    from saleslens.operators import profile
+
+    detail = make_fact(*({"model": f"M{k % 7}" if k % 5 else None, "year": 2000 + k % 3, "brand": f"B{k % 2}"} for k in range(60)))
+    sketched = profile.sketches(detail)
+    assert sketched.count() == 6
+    assert profile.merged_distinct_counts(sketched, ["model", "month"]).first()[:] == (7, 1)
+    assert profile.merged_distinct_counts(sketched.filter("year = 1"), ["model"]).first()[:] == (0,)
+
+
+def test_an_answer_is_read_once(spark, make_fact):
+    from saleslens.operators import quality
+    from saleslens.plans.run import run
+    from saleslens.plans.tables import SalesTables
+
+    tables = SalesTables(make_fact({"sales": 3}, {"sales": 4, "brand": "FAW"}))
+    reads = spark.sparkContext.accumulator(0)
+    spec = {"operation": "comparison"}
+    result = run(spec, tables)
+
+    def counted(batches):
+        for batch in batches:
+            reads.add(len(batch))
+            yield batch
+
+    checks = quality.answer_checks({"one": (spec, result.mapInPandas(counted, result.schema))}, tables)
+    assert {r.check_type for r in checks.collect()} == {"cross_reference", "result_completeness", "data_source_consistency"}
+    checks.count()
+    assert reads.value == result.count()

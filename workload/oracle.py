@@ -259,6 +259,13 @@ on_fact("distinct_counts", """
 SELECT count(DISTINCT brand) AS brand, count(DISTINCT model) AS model,
   count(DISTINCT sales_type) AS sales_type, count(DISTINCT vr_id) AS vr_id,
   count(DISTINCT tank) AS tank FROM fact""")
+on_fact("distinct_counts_stored", " UNION ALL ".join(
+    f"SELECT '{question}' AS question, '{c}' AS dimension, count(DISTINCT {c}) AS n, true AS is_close FROM fact {kept}"
+    for question, kept in (("all", ""), ("two years", "WHERE year IN (1996, 1997)"))
+    for c in ("segment", "model", "month", "sales_type", "vr_id", "cc", "tank")))
+on_fact("top_values", " UNION ALL ".join(
+    f"SELECT * FROM (SELECT '{c}' AS dimension, {c} AS value, count(*) AS n_rows FROM fact GROUP BY {c} ORDER BY n_rows DESC, value LIMIT 10)"
+    for c in ("model", "cc", "vr_id")))
 on_fact("spec_distribution", " UNION ALL ".join(
     f"SELECT '{label}' AS dimension, {column} AS value, count(*) AS n_rows FROM fact "
     f"WHERE {column} IS NOT NULL GROUP BY {column}"

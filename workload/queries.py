@@ -412,6 +412,33 @@ def distinct_counts(spark, sf_dir):
         facts.detail(spark, sf_dir), ["brand", "model", "sales_type", "vr_id", "tank"])
 
 
+@register
+def distinct_counts_stored(spark, sf_dir):
+    """Distinct values from the stored sketches, of all years and of two: whether each count is
+    within four standard errors of the exact one, which is given beside it."""
+    stored = warehouse.save(spark, facts.detail(spark, sf_dir), shared_dir(spark, "stored"))
+    out = None
+    for question, years in (("all", None), ("two years", [1996, 1997])):
+        near = stored.distinct_counts(profile.SKETCHED, years).unpivot([], profile.SKETCHED, "dimension", "estimate")
+        exact = stored.distinct_counts(profile.SKETCHED, years, exact=True).unpivot([], profile.SKETCHED, "dimension", "n")
+        close = F.abs(F.col("estimate") - F.col("n")) <= F.greatest(F.lit(1.0), 4 * profile.SKETCH_ERROR * F.col("n"))
+        rows = exact.join(near, "dimension").select(F.lit(question).alias("question"), "dimension", "n", close.alias("is_close"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@register
+def top_values(spark, sf_dir):
+    """The ten most frequent values of wide columns, found by sketches and counted exactly."""
+    detail = facts.detail(spark, sf_dir)
+    out = None
+    for column in ("model", "cc", "vr_id"):
+        rows = profile.top_values(detail, column, tracked=100 if column == "cc" else 2000)
+        rows = rows.select(F.lit(column).alias("dimension"), "value", "n_rows")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 @register
 def spec_distribution(spark, sf_dir):
     return profile.distribution(facts.detail(spark, sf_dir), DISTRIBUTION_COLUMNS)
