@@ -2,11 +2,12 @@
 
 Texts are sets of five-word shingles. Texts with the same set are one class, counted but not
 expanded. Each class has, for every tree of the forest, a label of ``DEPTH`` minimum hashes; equal
-prefixes of sorted labels are the paths of a trie. The prefix is shortened until a link at the
-threshold would be met in some tree with the target recall; that length parts the trie into
-buckets. Inside a bucket the sorted labels are walked from the longest shared prefixes to the
-shortest, and texts not yet joined are compared by all their hashes. What is clearly below the
-threshold is left; the rest joins into candidate groups.
+prefixes of the labels are the paths of a trie, and the texts below a path are its bucket. The forest is
+climbed from whole labels up: at each length, texts of one bucket that are not yet settled, that is not
+yet in one candidate group, are compared by all their hashes. What is clearly below the threshold is left,
+the rest joins into candidate groups. Buckets whose texts are all settled are passed over. Prefixes are
+shortened until a pair as little alike as the least alike one seen would have met with the target recall;
+where few pairs were seen, a pair at the threshold.
 
 Inside candidate groups every pair is verified on the exact shingle sets (64-bit hashes of them).
 Groups beyond a block are dealt as pairs of blocks: each text goes to as many tasks as the group has
@@ -30,6 +31,8 @@ WORDS = 5
 THRESHOLD = 0.8
 TREES, DEPTH = 16, 8
 RECALL = 0.9997
+#: Meetings of pairs in buckets after which the least alike pair tells how short prefixes must be.
+ENOUGH_SEEN = 10_000
 BUCKET_BLOCK = 512
 VERIFY_BLOCK = 256
 #: Standard errors that an estimate may lie below the threshold before a pair is left.
@@ -89,28 +92,12 @@ def _stars(cluster: np.ndarray, rid: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return least[others], rid[others]
 
 
-def _walk(labels: np.ndarray, own: np.ndarray, shortest: int, cut: float) -> np.ndarray:
-    """The clusters of a bucket that its hashes allow: ``labels`` are whole signatures, ``own`` the
-    sorted labels of the bucket's tree."""
-    n, width = labels.shape
-    if n == 2:
-        return np.zeros(2, int) if (labels[0] == labels[1]).sum() >= cut * width else np.arange(2)
-    cluster = np.arange(n)
-    for depth in range(DEPTH, shortest - 1, -1):
-        starts = np.concatenate(([0], np.flatnonzero((own[1:, :depth] != own[:-1, :depth]).any(axis=1)) + 1, [n]))
-        for a, b in zip(starts[:-1], starts[1:], strict=True):
-            if b - a < 2 or (cluster[a:b] == cluster[a]).all():
-                continue
-            part = labels[a:b]
-            alike = np.zeros((b - a, b - a), np.int32)
-            for k in range(width):
-                alike += part[:, k, None] == part[None, :, k]
-            near = (alike >= cut * width) | (cluster[a:b, None] == cluster[None, a:b])
-            found = _clusters(near)
-            for root in np.unique(found):
-                inside = np.unique(cluster[a:b][found == root])
-                cluster[np.isin(cluster, inside)] = inside[0]
-    return cluster
+def _alike(labels: np.ndarray) -> np.ndarray:
+    """How many hashes each two of the signatures share."""
+    out = np.zeros((len(labels), len(labels)), np.int32)
+    for k in range(labels.shape[1]):
+        out += labels[:, k, None] == labels[None, :, k]
+    return out
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -175,7 +162,7 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
         F.count(F.lit(1)).alias("copies"), F.min(rank).alias("first"), F.first("label").alias("label"))
     sets = staged(sets.withColumn("rid", F.monotonically_increasing_id()), "forest-sets")
 
-    found = components(_candidates(sets, threshold, recall), "forest-candidates")
+    found = _candidates(sets, threshold, recall)
     linked = staged(_verified(found, sets, rows, threshold), "forest-verified")
     classes = components(linked.where("b is not null").select("a", "b"), "forest-classes")
     links = linked.where("b is null").groupBy(F.col("a").alias("rid")).agg(F.sum("links").alias("links"))
@@ -195,33 +182,91 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
     return Classes(documents, winners)
 
 
+def _met(similarity: float, depth: int) -> float:
+    """The chance that two texts so alike meet in a bucket of that length."""
+    return 1 - (1 - similarity**depth) ** TREES
+
+
+def _climbed(seen: DataFrame, depth: int, shortest: int, threshold: float, recall: float) -> bool:
+    """Whether prefixes are short enough: ``seen`` tells, per number of shared hashes, the pairs met."""
+    if depth <= shortest:
+        return True
+    row = seen.where(F.col("shared") >= threshold * TREES * DEPTH).agg(F.sum("n").alias("n"), F.min("shared").alias("least")).first()
+    return (row["n"] or 0) >= ENOUGH_SEEN and _met(max(threshold, row["least"] / (TREES * DEPTH)), depth) >= recall
+
+
 def _candidates(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
-    """Stars (a, b) over the classes which the forest finds alike."""
-    depth, step = prefix_length(threshold, recall), 2 * DEPTH
-    width = TREES * DEPTH
+    """``node`` and ``component``, the candidate groups of classes that the forest finds alike."""
+    shortest = prefix_length(threshold, recall)
+    groups = edges = seen = None
+    for depth in range(DEPTH, shortest - 1, -1):
+        found = staged(_bucket_pairs(sets, groups, depth, threshold), "forest-pairs")
+        stars = found.where("b is not null").select("a", "b")
+        counts = found.where("b is null").groupBy(F.col("a").alias("shared")).agg(F.sum("n").alias("n"))
+        if groups is None:
+            edges, seen = stars, counts
+        else:
+            edges, seen = groups.select(F.col("component").alias("a"), F.col("node").alias("b")).union(stars), seen.union(counts)
+        if groups is None or not stars.isEmpty():
+            groups = components(edges, "forest-candidates")
+        if _climbed(seen, depth, shortest, threshold, recall):
+            break
+    return groups
+
+
+def _bucket_pairs(sets: DataFrame, groups: DataFrame | None, depth: int, threshold: float) -> DataFrame:
+    """Of the buckets of prefixes of that length: stars (a, b) over classes that seem alike and, with
+    null ``b``, ``n`` pairs that share ``a`` hashes. Classes of one candidate group are settled."""
+    step, width = 2 * DEPTH, TREES * DEPTH
     cut = threshold - SLACK * (threshold * (1 - threshold) / width) ** 0.5
-    paths = sets.select("rid", F.expr(
-        f"posexplode(transform(sequence(0, {TREES - 1}), i -> xxhash64(i, substring(label, i * {step} + 1, {2 * depth}))))"
-    ).alias("tree", "path"))
-    shared = paths.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    rows = sets.select("rid", "label")
+    if groups is None:
+        rows = rows.withColumn("settled", F.col("rid"))
+    else:
+        rows = rows.join(groups.withColumnRenamed("node", "rid"), "rid", "left").select(
+            "rid", "label", F.coalesce("component", "rid").alias("settled"))
+    paths = rows.select("rid", "settled", F.explode(F.expr(
+        f"transform(sequence(0, {TREES - 1}), i -> xxhash64(i, substring(label, i * {step} + 1, {2 * depth})))")).alias("path"))
+    shared = paths.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("settled").alias("one"), F.max("settled").alias("other"))
+    # written, so that the join below has shuffles of its own, in which a common path is split
+    shared = staged(shared.where("one < other").select("path", "size"), "forest-paths")
     members = tiles(paths.join(shared, "path"), "path", "size", BUCKET_BLOCK, "rid")
     members = members.join(sets.select("rid", "label"), "rid")
-    own = F.expr(f"substring(label, tree * {step} + 1, {step})")
-    dealt = (members.select("path", "lo", "hi", own.alias("own"), "rid", "label", "tree")
-             .repartition("path", "lo", "hi").sortWithinPartitions("path", "lo", "hi", "own"))
+    dealt = (members.select("path", "lo", "hi", "own", "rid", "settled", "label")
+             .repartition("path", "lo", "hi").sortWithinPartitions("path", "lo", "hi"))
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("a", "b", "n")])
 
     def fn(batches):
+        counts = np.zeros(width + 1, np.int64)
         for group in sorted_groups(batches, 3):
             if group.num_rows < 2:
                 continue
-            rid = group["rid"].to_numpy()
+            rid, settled, own = (group[c].to_numpy() for c in ("rid", "settled", "own"))
             labels = np.frombuffer(b"".join(group["label"].to_pylist()), ">u2").reshape(len(rid), width)
-            tree = group["tree"][0].as_py()
-            a, b = _stars(_walk(labels, labels[:, tree * DEPTH : (tree + 1) * DEPTH], depth, cut), rid)
+            if len(rid) == 2:
+                alike = int((labels[0] == labels[1]).sum())
+                if settled[0] != settled[1]:
+                    counts[alike] += 1
+                    if alike >= cut * width:
+                        yield _stars_batch(np.array([rid.min()]), np.array([rid.max()]))
+                continue
+            alike = _alike(labels)
+            same = settled[:, None] == settled[None, :]
+            new = np.triu(~same, 1)
+            if group["lo"][0].as_py() != group["hi"][0].as_py():
+                new &= own[:, None] != own[None, :]
+            counts += np.bincount(alike[new], minlength=width + 1)
+            a, b = _stars(_clusters(same | (alike >= cut * width)), rid)
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                yield _stars_batch(a, b)
+        held = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.nulls(len(held), pa.int64()), pa.array(counts[held], pa.int64())], names=["a", "b", "n"])
+
+    return map_batches(dealt, schema, fn)
+
 
-    return map_batches(dealt, T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]), fn)
+def _stars_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.int64())], names=["a", "b", "n"])
 
 
 def _verified(found: DataFrame, sets: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:

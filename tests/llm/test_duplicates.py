@@ -91,6 +91,30 @@ def test_intersections_and_labels():
     assert forest.prefix_length(0.95) > forest.prefix_length(0.8)
 
 
+def test_prefixes_are_shortened_as_far_as_needed(spark, monkeypatch):
+    """Many pairs that are much alike need no short prefixes; a few at the threshold need the shortest."""
+    depths = []
+    real = forest._bucket_pairs
+
+    def noted(sets, groups, depth, threshold):
+        depths.append(depth)
+        return real(sets, groups, depth, threshold)
+
+    monkeypatch.setattr(forest, "_bucket_pairs", noted)
+    monkeypatch.setattr(forest, "ENOUGH_SEEN", 40)
+    close = []
+    for seed in range(60):
+        words = prose(2000 + seed, 400).split()
+        close += [" ".join(words), " ".join([*words[:200], "changed", *words[201:]])]
+    rows = list(enumerate(close))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(forest.join(docs).documents) == sorted(brute_join(rows), key=key)
+    assert depths[0] == forest.DEPTH and depths[-1] > forest.prefix_length()
+    depths.clear()
+    assert forest.join(docs.where("doc_id < 2")).documents.where("n_links = 1").count() == 2
+    assert depths == list(range(forest.DEPTH, forest.prefix_length() - 1, -1))
+
+
 def test_one_of_each_keeps_columns_and_wordless_rows(spark):
     docs = odd_docs(spark)
     kept = forest.one_of_each(docs)
