@@ -11,7 +11,8 @@ from workload import facts
 from workload.queries import REGISTRY
 
 EAGER = {"ingest_detail", "run_metadata", "sink_roundtrip", "incremental_update", "incremental_update_stream",
-         "ingest_workbooks", "ingest_csv", "export_roundtrip", "stored_equals_derived"}
+         "ingest_workbooks", "ingest_csv", "export_roundtrip", "stored_equals_derived", "ingest_folder",
+         "incremental_workbooks", "stored_aggregates", "distinct_counts_stored", "top_values"}
 PYTHON = {"ingest_problems"}  # decodes workbooks
 LAZY = sorted(set(REGISTRY) - EAGER - PYTHON)
 
@@ -89,6 +90,12 @@ def test_cross_reference_reads_each_table_once_a_side(spark, sf_dir):
     assert plan.count("FileScan") <= 11  # 19 when counts and brands were taken apart
 
 
+def test_scores_read_the_tallies(spark, sf_dir):
+    """The answers are read once, into a small table; the scores of all questions follow from that."""
+    for name in ("quality_score", "report_recommendations"):
+        assert plan_of(REGISTRY[name](spark, sf_dir)).count("FileScan") <= 10  # 29 when each check read for itself
+
+
 def test_integrity_aggregates_by_hash(spark, sf_dir):
     plan = plan_of(REGISTRY["integrity_record"](spark, sf_dir))
     wide = [line for line in plan.splitlines() if "ObjectHashAggregate" in line and "gvw" in line.split("functions=")[0]]
