@@ -200,7 +200,7 @@ def _examples(docs: DataFrame, text: str) -> DataFrame:
     least = texts.select("h").distinct().orderBy("h").limit(MAX_DOCS)
     chosen = texts.join(F.broadcast(least), "h", "left_semi").dropDuplicates(["h"])
     lines = chosen.select(F.explode(F.split("t", "\n")).alias("t")).where((F.length("t") > 20) & ~has_cue(F.col("t")))
-    negatives = staged(lines.distinct().orderBy(F.xxhash64("t")).limit(MAX_NEGATIVES), "licences-negatives")
+    negatives = staged(lines.distinct().orderBy(F.xxhash64("t")).limit(MAX_NEGATIVES).coalesce(1), "licences-negatives")
     alike = _rows(spark, "t", ((t,) for t in SOUNDS_ALIKE))
     unknown = negatives.unionByName(alike).select(F.lit(len(CLASSES) - 1).alias("label"), "t")
     templates = _rows(spark, "label t", ((FAMILIES.index(f), t) for f, t in TEMPLATES))
@@ -216,7 +216,7 @@ def _examples(docs: DataFrame, text: str) -> DataFrame:
     rows = whole.unionByName(amid).unionByName(unknown).distinct()
     bagged = _bagged(rows, "t").where("size(own) > 0")
     return staged(bagged.select(F.xxhash64("t", "label").alias("ex"), "label", (F.pmod(F.xxhash64("t"), F.lit(5)) == 0).alias("held"),
-                                buckets("own", "grams").alias("bag")).dropDuplicates(["ex"]), "licences-examples")
+                                buckets("own", "grams").alias("bag")).dropDuplicates(["ex"]).coalesce(1), "licences-examples")
 
 
 def _scores(bags: DataFrame, weights: DataFrame, *keys: str) -> DataFrame:
@@ -234,8 +234,8 @@ def _softmax(z: str, heat: float = 1.0) -> Column:
 def train(docs: DataFrame, text: str = "text") -> Model:
     """The classifier; its examples are bounded by the templates and ``MAX_NEGATIVES``.
 
-    A round is a handful of joins and sums over these few rows. Each input is one partition, so a
-    round is one stage without a shuffle.
+    A round is a handful of joins and sums over these few rows. Each input is one file, so a round is
+    one stage without a shuffle.
     """
     examples = _examples(docs, text).coalesce(1)
     n = len(CLASSES)
