@@ -106,3 +106,10 @@ def test_updates_read_touched_partitions_only(spark, stored):
     detail = warehouse.of_keys(stored.detail, [(1997, "Brand#11"), (1998, "Brand#12")])
     partition = plan_of(detail).split("PartitionFilters: [")[1].split("]")[0]
     assert all(key in partition for key in ("1997", "Brand#11", "1998"))
+
+
+def test_cells_are_gathered_where_they_join(spark, sf_dir):
+    """One shuffle by vehicle for both the gathering and the join; no wide row is pivoted or sorted."""
+    plan = REGISTRY["clean_sales"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "pivotfirst" not in plan and "SortMergeJoin" not in plan and "Sort [" not in plan
+    assert plan.count("Exchange hashpartitioning(l_partkey#") == 2  # the sums, by all their keys, and the cells
