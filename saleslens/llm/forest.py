@@ -92,6 +92,21 @@ def _stars(cluster: np.ndarray, rid: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return least[others], rid[others]
 
 
+def _ties(near: np.ndarray, node: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges between the nodes of a tile that ``near`` leads to. Of two blocks, each one's own ties are told
+    by the tile of that block alone, so what it connects is one node here; a pair of blocks that is alike
+    throughout gives one edge."""
+    least = node
+    if own.min() != own.max():
+        part = _clusters(near & (own[:, None] == own[None, :]))
+        least = np.full(len(node), np.iinfo(np.int64).max, np.int64)
+        np.minimum.at(least, part, node)
+        least = least[part]
+    nodes, first = np.unique(least, return_index=True)
+    whole = _clusters(near | (node[:, None] == node[None, :]))
+    return _stars(whole[first], nodes)
+
+
 def _alike(labels: np.ndarray) -> np.ndarray:
     """How many hashes each two of the signatures share."""
     out = np.zeros((len(labels), len(labels)), np.int32)
@@ -248,7 +263,7 @@ def _bucket_pairs(sets: DataFrame, groups: DataFrame | None, depth: int, thresho
                 if settled[0] != settled[1]:
                     counts[alike] += 1
                     if alike >= cut * width:
-                        yield _stars_batch(np.array([rid.min()]), np.array([rid.max()]))
+                        yield _stars_batch(np.array([settled.min()]), np.array([settled.max()]))
                 continue
             alike = _alike(labels)
             same = settled[:, None] == settled[None, :]
@@ -256,7 +271,8 @@ def _bucket_pairs(sets: DataFrame, groups: DataFrame | None, depth: int, thresho
             if group["lo"][0].as_py() != group["hi"][0].as_py():
                 new &= own[:, None] != own[None, :]
             counts += np.bincount(alike[new], minlength=width + 1)
-            a, b = _stars(_clusters(same | (alike >= cut * width)), rid)
+            # one row stands for those of a candidate group, whose ties are known
+            a, b = _ties(same | (alike >= cut * width), settled, own)
             if len(a):
                 yield _stars_batch(a, b)
         held = np.flatnonzero(counts)
@@ -291,9 +307,9 @@ def _verified(found: DataFrame, sets: DataFrame, rows: DataFrame, threshold: flo
             both = intersections(grams)
             linked = both >= (threshold - 1e-12) * (sizes[:, None] + sizes[None, :] - both)
             np.fill_diagonal(linked, False)
+            roots, others = _ties(linked, rid, own)
             if group["lo"][0].as_py() != group["hi"][0].as_py():
                 linked &= own[:, None] != own[None, :]
-            roots, others = _stars(_clusters(linked), rid)
             counts = linked @ copies
             at = np.flatnonzero(counts)
             if len(at):

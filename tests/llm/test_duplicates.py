@@ -321,3 +321,21 @@ def test_pipeline_equals_its_steps_by_hand(spark):
         want[i] = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
     got = {r.doc_id: (r.n_tokens, r.ids_sha256) for r in corpus_pipeline.run(spark, sf_dir).collect()}
     assert got == want and 0 < len(got) < len(first)
+
+
+def test_pairs_of_blocks_that_are_alike_give_one_edge():
+    """Each block's own ties are told by its own tile; a block of 30 more adds one edge for each other block."""
+    node = np.arange(60)
+    own = np.repeat([0, 1], 30)
+    near = np.ones((60, 60), bool)
+    a, b = forest._ties(near, node, own)
+    assert list(zip(a.tolist(), b.tolist())) == [(0, 30)]
+    a, b = forest._ties(near[:30, :30], node[:30], own[:30])
+    assert len(a) == 29 and set(a.tolist()) == {0}
+    # rows of one candidate group count as one node
+    a, b = forest._ties(near[:30, :30], node[:30] // 10 * 10, own[:30])
+    assert list(zip(a.tolist(), b.tolist())) == [(0, 10), (0, 20)]
+    near = np.zeros((60, 60), bool)
+    near[3, 40] = near[40, 3] = near[3, 5] = near[5, 3] = True
+    a, b = forest._ties(near, node, own)
+    assert list(zip(a.tolist(), b.tolist())) == [(3, 40)]
