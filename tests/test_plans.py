@@ -113,3 +113,11 @@ def test_cells_are_gathered_where_they_join(spark, sf_dir):
     plan = REGISTRY["clean_sales"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "pivotfirst" not in plan and "SortMergeJoin" not in plan and "Sort [" not in plan
     assert plan.count("Exchange hashpartitioning(l_partkey#") == 2  # the sums, by all their keys, and the cells
+
+
+def test_deliveries_come_from_one_computation(spark, sf_dir, monkeypatch):
+    """The sheets behind all deliveries are computed once, not once for each delivery."""
+    cells, calls = facts.sheet_cells, []
+    monkeypatch.setattr(facts, "sheet_cells", lambda *given: calls.append(1) or cells(*given))
+    assert REGISTRY["incremental_update"](spark, sf_dir).count() > 0
+    assert len(calls) == 1  # three before
