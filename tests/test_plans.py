@@ -121,3 +121,9 @@ def test_deliveries_come_from_one_computation(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(facts, "sheet_cells", lambda *given: calls.append(1) or cells(*given))
     assert REGISTRY["incremental_update"](spark, sf_dir).count() > 0
     assert len(calls) == 1  # three before
+
+
+def test_a_run_record_sends_headers_and_reads_facts_once(spark, sf_dir):
+    """Header rows are broadcast, and what facts and TOTAL rows are counted from is written before."""
+    plan = plan_of(REGISTRY["run_metadata"](spark, sf_dir))
+    assert "SortMergeJoin" not in plan and "MapInArrow" not in plan and "MapInPandas" not in plan
