@@ -127,3 +127,14 @@ def test_a_run_record_sends_headers_and_reads_facts_once(spark, sf_dir):
     """Header rows are broadcast, and what facts and TOTAL rows are counted from is written before."""
     plan = plan_of(REGISTRY["run_metadata"](spark, sf_dir))
     assert "SortMergeJoin" not in plan and "MapInArrow" not in plan and "MapInPandas" not in plan
+
+
+def test_units_are_dealt_in_proportion_to_the_lines(spark, sf_dir, monkeypatch):
+    """Wide rows are made in tasks whose number follows the input; AQE coalesces none of them."""
+    import os
+
+    monkeypatch.setattr(facts, "BYTES_OF_LINES", 1_000)
+    n = -(-os.path.getsize(f"{sf_dir}/lineitem.parquet") // 1_000)
+    for name in ("view_specs_only", "integrity_record", "quality_cross_reference"):
+        plan = plan_of(REGISTRY[name](spark, sf_dir))
+        assert f", {n}), REPARTITION_BY_NUM" in plan
