@@ -138,3 +138,12 @@ def test_units_are_dealt_in_proportion_to_the_lines(spark, sf_dir, monkeypatch):
     for name in ("view_specs_only", "integrity_record", "quality_cross_reference"):
         plan = plan_of(REGISTRY[name](spark, sf_dir))
         assert f", {n}), REPARTITION_BY_NUM" in plan
+
+
+def test_integrity_counts_written_specifications(stored):
+    from saleslens.operators import views
+
+    record = views.integrity_record(stored.master, "now", stored.specs_only)
+    assert record.collect() == views.integrity_record(stored.master, "now").collect()
+    keys = [line for line in plan_of(record).splitlines() if "HashAggregate(keys=" in line]
+    assert not any("gvw" in line for line in keys)
