@@ -41,8 +41,9 @@ LEAST_WORDS = 20
 #: Share of those with enough words that is drawn, in percent.
 PERCENT = 10
 SEED = 2024
-#: N-grams whose buckets are found at once, within a batch of rows.
-PIECE = 1 << 21
+#: N-grams whose buckets are found at once, within a batch of rows or a long text: words as objects and the
+#: arrays beside them take about 200 bytes an n-gram, and several tasks share an executor.
+PIECE = 1 << 17
 
 # ---------------------------------------------------------------------------------------------
 # CRC-32 as a linear map
@@ -130,8 +131,9 @@ def scan(texts: list[list[bytes]]) -> Prefixes:
     heads, at = [], 0
     for words in texts:
         if words:
-            pieces = [words[0], *(b" " + w for w in words[1:])]
-            end[at : at + len(words)] = list(itertools.accumulate(pieces, _extend, initial=0))[1:]
+            pieces = itertools.chain(words[:1], map(b" ".__add__, itertools.islice(words, 1, None)))
+            crcs = itertools.islice(itertools.accumulate(pieces, _extend, initial=0), 1, None)
+            end[at : at + len(words)] = np.fromiter(crcs, np.uint32, len(words))
             heads.append(at)
             at += len(words)
     start = np.zeros(len(sizes), np.uint32)
@@ -176,12 +178,14 @@ def buckets_of(texts: list[list[bytes]], n_buckets: int, shortest: int, longest:
         runs = np.maximum(sizes - n + 1, 0)
         whose = np.repeat(np.arange(len(texts)), runs)
         first = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs) + begin[whose]
-        found.append(ngram_crcs(prefixes, first, n) % np.uint32(n_buckets))
+        found += [ngram_crcs(prefixes, first[k : k + PIECE], n) % np.uint32(n_buckets) for k in range(0, len(first), PIECE)]
         owner.append(whose)
     whose = np.concatenate(owner)
-    order = np.argsort(whose, kind="stable")
+    buckets = np.concatenate([np.empty(0, np.uint32), *found])
+    if shortest < longest:
+        buckets = buckets[np.argsort(whose, kind="stable")]
     ends = np.cumsum(np.bincount(whose, minlength=len(texts)))
-    return np.split(np.concatenate(found)[order], ends[:-1])
+    return np.split(buckets, ends[:-1])
 
 
 def features(docs: DataFrame, n_buckets: int = BUCKETS, shortest: int = SHORTEST, longest: int = LONGEST) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -101,3 +102,18 @@ def test_query_equals_brute_force(spark, sf_dir):
     found = queries.op12_resample(spark, sf_dir)
     assert found.dtypes == [(n, "bigint") for n in ("doc_id", "n_features", "weight", "score", "rank")]
     assert sorted((tuple(r) for r in found.collect()), key=repr) == sorted(((w[0], *w[2:]) for w in want), key=repr)
+
+
+@pytest.mark.parametrize("texts", [200, 1], ids=["many texts", "one long text"])
+def test_memory_of_a_batch(texts):
+    """A batch of rows is worked through in pieces: what a task holds is in proportion to a piece."""
+    words = b" ".join(b"w%d" % (k % 977) for k in range(800_000 // texts))
+    tracemalloc.start()
+    try:
+        found = [b.astype("<u2") for piece in resample._pieces(iter([words] * texts), 1) for b in resample.buckets_of(piece, 10_000, 1, 1)]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(map(len, found)) == 800_000
+    assert peak < (48 << 20 if texts > 1 else 96 << 20)
+    assert found[0][:3].tolist() == [zlib.crc32(b"w%d" % k) % 10_000 for k in range(3)]
