@@ -27,11 +27,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from saleslens.llm.common import add_fields, appended, col, fresh, map_batches, map_rows, mix, series, staged, words_of
+from saleslens.llm.common import WORD_PATTERN, add_fields, appended, col, fresh, map_batches, map_rows, mix, series, staged
 
 #: Words on either side among which a chosen word has the least hash.
 REACH = 5
@@ -184,24 +185,37 @@ def _pieces(texts: Iterator[tuple[int, str]]) -> Iterator[tuple[list[int], list[
 # what a part tells of itself: whether it is short, its places, and the words next to the first of them
 
 
-def _chain(hashes: np.ndarray, ends: np.ndarray) -> list[bytes]:
-    """For each part, hashes of its first 2, 4, 6 ... words; part ``k`` has the words ``ends[k]`` to ``ends[k + 1]``."""
+class _Chain(NamedTuple):
+    """For each part, hashes of its first 2, 4, 6 ... words: bytes, and where those of each part begin and end."""
+
+    data: bytes
+    at: np.ndarray
+
+    def of(self, part: int) -> bytes:
+        return self.data[self.at[part, 0] : self.at[part, 1]]
+
+
+def _chain(hashes: np.ndarray, ends: np.ndarray) -> _Chain:
+    """Chains of the parts; part ``k`` has the words ``ends[k]`` to ``ends[k + 1]``."""
     sizes = np.diff(ends)
     place = np.arange(len(hashes)) - np.repeat(ends[:-1], sizes)
     total = np.cumsum(hashes * _powers(_ODD[1], int(sizes.max()))[place])
     before = np.concatenate([np.zeros(1, np.uint64), total])[ends[:-1]]
     some = place % TOGETHER == TOGETHER - 1
-    sums = mix(total[some] - np.repeat(before, sizes)[some])
+    sums = mix(total[some] - np.repeat(before, sizes // TOGETHER))
     data = np.ascontiguousarray(sums.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_TELLING]).tobytes()
-    at = (np.concatenate([[0], np.cumsum(sizes // TOGETHER)]) * _TELLING).tolist()
-    return [data[a:b] for a, b in zip(at, at[1:], strict=False)]
+    at = np.concatenate([[0], np.cumsum(sizes // TOGETHER)]) * _TELLING
+    return _Chain(data, np.stack([at[:-1], at[1:]], axis=1))
+
+
+def _both_ways(found: Parts) -> tuple[_Chain, _Chain]:
+    """The chains of all parts from their first words on, and from their last words back."""
+    ends = found.first
+    back = _chain(found.word_hash[::-1], ends[-1] - ends[::-1])
+    return _chain(found.word_hash, ends), back._replace(at=back.at[::-1])
 
 
-def _both_ways(found: Parts, lo: int, hi: int) -> tuple[list[bytes], list[bytes]]:
-    """The chains of the parts ``lo`` to ``hi`` from their first words on, and from their last words back."""
-    ends = found.first[lo : hi + 1] - found.first[lo]
-    hashes = found.word_hash[found.first[lo] : found.first[hi]]
-    return _chain(hashes, ends), _chain(hashes[::-1], ends[-1] - ends[::-1])[::-1]
+_ABOUT = np.dtype([("short", "u1"), ("size", "<u4"), ("place", "<u4"), ("before", "<u4")])
 
 
 def _pack(short: bool, places: bytes, before: bytes, after: bytes) -> bytes:
@@ -214,24 +228,33 @@ def _unpack(told: bytes) -> tuple[bool, np.ndarray, bytes, bytes]:
     return told[0] == 1, np.frombuffer(told, "<u4", n // 4, 5), told[9 + n : 9 + n + m], told[9 + n + m :]
 
 
-def _tell(found: Parts, k: int) -> Iterator[tuple[bytes, bytes]]:
-    """Digest and description of the distinct parts of the ``k``-th text."""
-    lo, hi = np.searchsorted(found.text, [k, k + 1])
-    if lo == hi:
-        return
-    ahead, back = _both_ways(found, lo, hi)
-    length = found.word_end[found.first[lo + 1 : hi + 1] - 1] - found.word_start[found.first[lo:hi]]
-    short = (found.size[lo:hi] < LEAST_WORDS).tolist()
-    skip = (found.size[lo:hi] < LEAST_WORDS) & (length < LEAST_CHARACTERS)
-    data = found.digest[lo:hi].tobytes()
-    places: dict[bytes, list[int]] = {}
-    for place in np.flatnonzero(~skip).tolist():
-        places.setdefault(data[16 * place : 16 * place + 16], []).append(place)
-    for mark, where in places.items():
-        p = where[0]
-        before = back[p - 1] if p else b""
-        after = ahead[p + 1] if p + 1 < hi - lo else b""
-        yield mark, _pack(short[p], np.array(where, "<u4").tobytes(), before, after)
+def _tell(found: Parts) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The distinct parts of each text: the text's number, the digest and a description of each."""
+    length = found.word_end[found.first[1:] - 1] - found.word_start[found.first[:-1]]
+    short = found.size < LEAST_WORDS
+    told = np.flatnonzero(~short | (length >= LEAST_CHARACTERS))
+    if not len(told):
+        return np.empty(0, np.int64), np.empty((0, 2), np.uint64), []
+    # parts of one text and digest side by side, in their order
+    told = told[np.lexsort((found.digest[told, 1], found.digest[told, 0], found.text[told]))]
+    text, mark = found.text[told], found.digest[told]
+    heads = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (mark[1:] != mark[:-1]).any(axis=1)]))
+    n = np.diff(np.append(heads, len(told)))
+    first = told[heads]
+    opens = np.searchsorted(found.text, text[heads])  # the text's first part
+    ahead, back = _both_ways(found)
+    before = np.where((first > opens)[:, None], back.at[first - 1], 0)
+    follows = np.append(found.text[1:] == found.text[:-1], False)[first]
+    after = np.where(follows[:, None], ahead.at[np.minimum(first + 1, len(found.text) - 1)], 0)
+    about = np.empty(len(first), _ABOUT)
+    about["short"], about["size"], about["place"], about["before"] = short[first], 4, first - opens, before[:, 1] - before[:, 0]
+    packed, width = about.tobytes(), _ABOUT.itemsize
+    out = [packed[k : k + width] + back.data[a:b] + ahead.data[c:d]
+           for k, (a, b), (c, d) in zip(range(0, len(packed), width), before.tolist(), after.tolist(), strict=True)]
+    for k in np.flatnonzero(n > 1).tolist():
+        places = told[heads[k] : heads[k] + n[k]] - opens[k]
+        out[k] = _pack(bool(short[first[k]]), places.astype("<u4").tobytes(), back.data[slice(*before[k])], ahead.data[slice(*after[k])])
+    return text[heads], mark[heads], out
 
 
 # ---------------------------------------------------------------------------------------------
@@ -303,7 +326,7 @@ def _stream(names: list[str]):
             id_type = batch.schema.field(1).type
             digests = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64).reshape(-1, 2)
             same = (digests[1:] == digests[:-1]).all(axis=1)
-            several = np.fromiter((v.as_py()[1:5] != b"\4\0\0\0" for v in batch.column(3)), bool, batch.num_rows)
+            several = pc.not_equal(pc.binary_slice(batch.column(3), 1, 5), b"\4\0\0\0").to_numpy(zero_copy_only=False)
             look = np.append(same, True) | np.append([True], same) | several
             batch = batch.take(pa.array(np.flatnonzero(look)))
             for digest, *holder in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
@@ -330,15 +353,11 @@ def repeats(docs: DataFrame, unit: str = "line") -> DataFrame:
     def list_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, texts in _pieces(enumerate(batch.column(2).to_pylist())):
-                found = parts(texts, unit)
-                take, digests, told = [], [], []
-                for k, row in enumerate(rows):
-                    for mark, what in _tell(found, k):
-                        take.append(row)
-                        digests.append(mark)
-                        told.append(what)
-                at = pa.array(take, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), batch.column(0).take(at), batch.column(1).take(at), pa.array(told, pa.binary())],
+                number, digests, told = _tell(parts(texts, unit))
+                at = pa.array(np.array(rows)[number], pa.int64())
+                ends = pa.py_buffer(np.arange(0, 16 * len(told) + 1, 16, dtype=np.int32))
+                digests = pa.Array.from_buffers(pa.binary(), len(told), [None, ends, pa.py_buffer(digests.tobytes())])
+                yield pa.RecordBatch.from_arrays([digests, batch.column(0).take(at), batch.column(1).take(at), pa.array(told, pa.binary())],
                                                  names=schema.names)
 
     order = [F.col("digest"), F.col("doc_id").asc_nulls_last(), F.col("row")]
@@ -377,8 +396,11 @@ def _matching(words: bytes, others: bytes) -> int:
     return n // _TELLING * TOGETHER
 
 
-def cuts(found: Parts, k: int, gone: list[dict]) -> tuple[list[_Cut], set[int], int]:
-    """What goes from the ``k``-th text: pieces of it in order, the lines that go whole, the number of whole parts."""
+def cuts(found: Parts, k: int, gone: list[dict], chains: tuple[_Chain, _Chain]) -> tuple[list[_Cut], set[int], int]:
+    """What goes from the ``k``-th text: pieces of it in order, the lines that go whole, the number of whole parts.
+
+    ``chains`` are those of all parts, both ways.
+    """
     lo, hi = (int(x) for x in np.searchsorted(found.text, [k, k + 1]))
     keeper, beside = {}, {}
     for row in gone:
@@ -386,32 +408,36 @@ def cuts(found: Parts, k: int, gone: list[dict]) -> tuple[list[_Cut], set[int],
         _, _, before, after = _unpack(row["kept"])
         for place in places[1 if row["spare_first"] else 0 :].tolist():
             keeper[place], beside[place] = row["keeper"], (before, after)
-    out = {p: [_Cut(int(found.start[lo + p]), int(found.end[lo + p]), keeper[p])] for p in keeper}
-    chains = _both_ways(found, lo, hi) if keeper else ()
+    starts, ends, lines = (x[lo:hi].tolist() for x in (found.start, found.end, found.line))
+    short = (found.size[lo:hi] < LEAST_WORDS).tolist()
+    out = {p: [_Cut(starts[p], ends[p], keeper[p])] for p in keeper}
     for p in keeper:
         for q, ahead in ((p - 1, False), (p + 1, True)):
-            if not 0 <= q < hi - lo or q in keeper or min(found.size[lo + p], found.size[lo + q]) < LEAST_WORDS:
+            if not 0 <= q < hi - lo or q in keeper or short[p] or short[q]:
                 continue  # short lines are told by their number alone
             a, b = int(found.first[lo + q]), int(found.first[lo + q + 1])
-            n = _matching(chains[not ahead][q], beside[p][ahead])
-            start, end = int(found.start[lo + q]), int(found.end[lo + q])
+            n = _matching(chains[not ahead].of(lo + q), beside[p][ahead])
+            start, end = starts[q], ends[q]
             if n < b - a:
                 start, end = (start, int(found.word_start[a + n])) if ahead else (int(found.word_start[b - n]), end)
             if n:
                 out.setdefault(q, []).append(_Cut(start, end, keeper[p]))
     pieces, whole, left = [], 0, set()
     for q in range(hi - lo):
-        start, end = int(found.start[lo + q]), int(found.end[lo + q])
-        reached = start
-        for piece in sorted(out.get(q, ()), key=lambda c: (c.start, -c.end)):
+        if q not in out:
+            left.add(lines[q])
+            continue
+        start = reached = starts[q]
+        end = ends[q]
+        for piece in sorted(out[q], key=lambda c: (c.start, -c.end)):
             if piece.end > reached:
                 pieces.append(piece._replace(start=max(piece.start, reached)))
                 start, reached = start + piece.end - pieces[-1].start, piece.end
         # what is left of the part is as long as it has not been moved to its end
         whole += start == end
         if start < end:
-            left.add(int(found.line[lo + q]))
-    return pieces, set(found.line[lo:hi].tolist()) - left, whole
+            left.add(lines[q])
+    return pieces, set(lines) - left, whole
 
 
 def cut(text: str, places: list[tuple[int, int]], gone: set[int], pieces: list[tuple] = ()) -> str:
@@ -457,21 +483,24 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", unit: str
     joined = docs.join(gone, col(doc_id).eqNullSafe(col(gone_id)) & (row == col(key)), "left").select(*map(col, docs.columns), col(found_gone))
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("keeper", id_type)])
     types = (T.LongType(), T.LongType(), T.ArrayType(span), T.BooleanType())
+    word = re.compile(WORD_PATTERN)
     at, at_id, width = docs.columns.index(text), docs.columns.index(doc_id), len(docs.columns)
 
     def remove(batch: pa.RecordBatch) -> pa.RecordBatch:
         n = batch.num_rows
         texts = batch.column(at).to_pylist()
         counts, gone_counts, removed = [0] * n, [0] * n, [[]] * n
-        worded = [bool(t) and bool(words_of(t.encode())) for t in texts]
+        worded = [bool(t) and word.search(t) is not None for t in texts]
         for rows, held in _pieces((k, t) for k, t in enumerate(texts) if t):
             found = parts(held, unit)
+            chains = None
             for k, row in enumerate(rows):
                 counts[row] = int(np.subtract(*np.searchsorted(found.text, [k + 1, k])))
                 lost = batch.column(width)[row].as_py()
                 if not lost:
                     continue
-                pieces, lines, gone_counts[row] = cuts(found, k, lost)
+                chains = chains or _both_ways(found)
+                pieces, lines, gone_counts[row] = cuts(found, k, lost, chains)
                 texts[row] = cut(held[k], split(held[k], unit), lines, pieces)
                 removed[row] = [{"start": p.start, "end": p.end, "keeper": p.keeper} for p in pieces]
         columns = [pa.array(texts, batch.schema.field(at).type) if k == at else batch.column(k) for k in range(width)]

@@ -339,3 +339,21 @@ def test_pairs_of_blocks_that_are_alike_give_one_edge():
     near[3, 40] = near[40, 3] = near[3, 5] = near[5, 3] = True
     a, b = forest._ties(near, node, own)
     assert list(zip(a.tolist(), b.tolist())) == [(3, 40)]
+
+
+def test_parts_of_many_texts_are_told_in_one_go(monkeypatch):
+    """Chains are made for a batch, not for each text, and what is told of a text does not depend on the others."""
+    texts = [prose(k, 5 + 13 * k % 90).replace(" co", "\nco") + f"\n{prose(3, 20)}\n" * (k % 3) for k in range(200)] + ["", "x", "\n", "。文字"]
+    calls = []
+    chain = units._chain
+    monkeypatch.setattr(units, "_chain", lambda *given: calls.append(1) or chain(*given))
+    number, digests, told = units._tell(units.parts(texts))
+    assert len(calls) == 2
+    together = {(k, d.tobytes()): t for k, d, t in zip(number.tolist(), digests, told, strict=True)}
+    assert len(together) == len(told) > 400
+    alone = {}
+    for k, text in enumerate(texts):
+        _, marks, what = units._tell(units.parts([text]))
+        alone |= {(k, d.tobytes()): t for d, t in zip(marks, what, strict=True)}
+    assert together == alone
+    assert any(len(units._unpack(t)[1]) > 1 for t in told)
