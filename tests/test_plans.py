@@ -147,3 +147,32 @@ def test_integrity_counts_written_specifications(stored):
     assert record.collect() == views.integrity_record(stored.master, "now").collect()
     keys = [line for line in plan_of(record).splitlines() if "HashAggregate(keys=" in line]
     assert not any("gvw" in line for line in keys)
+
+
+@pytest.mark.parametrize("name", ["stored_equals_derived"])
+def test_questions_share_one_pass_over_the_facts(name, spark, sf_dir):
+    """What is asked of derived tables reads written facts; no question joins or sums the lines again."""
+    plan = plan_of(REGISTRY[name](spark, sf_dir))
+    assert "Join" not in plan and "lineitem" not in plan
+
+
+def test_months_of_a_specification_are_folded_before_the_shuffle(make_fact):
+    from saleslens.operators import views
+
+    months = ["jan", "jan", "dec", "all", None, None, "JAN", ""]
+    rows = [{"month": m, "sales_type": t, "vr_id": v} for m in months for t in ("wholesales", "retail_sales")
+            for v in ("VR1", None)]
+    specs = views.specs_only(make_fact(*rows, {"month": "feb", "vr_id": "VR1", "cc": "1500"}, {"month": "feb", "brand": None}))
+    found = [(r.brand, r.vr_id, r.cc, r.month) for r in specs.collect()]
+    want = {("HINO", v, "", m) for v in ("VR1", None) for m in months}
+    assert len(found) == len(set(found))
+    assert set(found) == want | {("HINO", "VR1", "1500", "feb"), (None, "VR000001", "", "feb")}
+    shuffled = plan_of(specs).split("Exchange hashpartitioning(")[1].split("]")[0]
+    assert "vr_id#" in shuffled and "month#" not in shuffled
+
+
+def test_specifications_without_months(make_fact):
+    from saleslens.operators import views
+
+    facts_without = make_fact({"month": "jan"}, {"month": "feb"}, {"model": "M2"}).drop("month")
+    assert views.specs_only(facts_without).count() == 2
