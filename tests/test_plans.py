@@ -149,7 +149,7 @@ def test_integrity_counts_written_specifications(stored):
     assert not any("gvw" in line for line in keys)
 
 
-@pytest.mark.parametrize("name", ["stored_equals_derived"])
+@pytest.mark.parametrize("name", ["stored_equals_derived", "stored_aggregates"])
 def test_questions_share_one_pass_over_the_facts(name, spark, sf_dir):
     """What is asked of derived tables reads written facts; no question joins or sums the lines again."""
     plan = plan_of(REGISTRY[name](spark, sf_dir))
