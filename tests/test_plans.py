@@ -67,6 +67,14 @@ def test_extraction_of_sheets_shuffles_only_for_headers(spark, make_sheet):
     assert "BroadcastHashJoin" in plan
 
 
+def test_month_cells_are_read_once(make_sheet):
+    from conftest import sheet_line
+    from saleslens.plans.build import detail_from_sheets
+
+    rows = make_sheet([(0, sheet_line("VR-ID")), (1, sheet_line("ABCD0001"))])
+    assert plan_of(detail_from_sheets(rows)).count("[dDfFxX]$") == 1
+
+
 def test_results_hold_at_any_partitioning(spark, sf_dir, stored):
     spec = {"operation": "model_specs"}
     want = run(spec, stored).orderBy("rank").collect()
